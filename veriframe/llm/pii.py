@@ -72,7 +72,8 @@ def base(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     signs = {"email": "@", "ip": ".", "card": "", "phone": "+"}
     typed = lambda a, k: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["m"].alias("m"), context(s["ctx"]).alias("word")))
-    lists = [typed(F.filter(matches(text, PATTERNS[k], signs[k]), lambda s, k=k: valid(k, s["m"])), i) for i, k in enumerate(KINDS)]
+    checked = lambda k: F.filter(matches(text, PATTERNS[k], signs[k]), lambda s: valid(k, s["m"]))
+    lists = [typed(checked(k), i) for i, k in enumerate(KINDS)]
     df = docs.withColumn("base", F.array_sort(F.concat(*lists)))
     loose = F.filter(matches(text, LOOSE), lambda s: F.length(digits(s["m"])).between(9, 19))
     return df.withColumn("loose", typed(loose, len(KINDS)))
@@ -121,8 +122,9 @@ def joined(spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find(docs).withColumn("doc_id", F.try_to_number(F.split("__key", ":")[0], F.lit("S9999999999999999999")).cast("long"))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    found = find(docs).withColumn("doc_id", F.expr("try_cast(split(__key, ':')[0] as bigint)"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

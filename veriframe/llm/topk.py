@@ -58,8 +58,8 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: int
     v = cut(v.mapInPandas(distances, "vec_id long, q boolean, x array<double>, d array<double>"))
     n, nq = v.count(), v.where("q").count()
     nc, ng = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
-    c = v.select("vec_id", "x", "d", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).cast("long").alias("qb"))
-    q = v.where("q").dropDuplicates(["vec_id"]).select("vec_id", "x", "d", F.size("x").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).cast("long").alias("cb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ng)).alias("qb"))
+    c = v.select("vec_id", "x", "d", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ng - 1).cast("long"))).alias("qb"))
+    q = v.where("q").dropDuplicates(["vec_id"]).select("vec_id", "x", "d", F.size("x").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("cb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ng)).alias("qb"))
 
     def meet(cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -75,7 +75,7 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: int
     by = ["dim", "cb", "qb"]
     found = c.groupBy(*by).cogroup(q.groupBy(*by)).applyInPandas(meet, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, e -> floor(e::DOUBLE * 256)) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 256)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
