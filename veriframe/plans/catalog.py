@@ -1 +1,139 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of the screening operators on the driver's tables, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..operators import digits, findings, groups, hashes, sequences
+from ..sources.workbooks import melt
+
+NUMERIC = ["l_extendedprice", "l_discount", "l_tax", "l_quantity"]
+
+
+def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def prices(s, d):
+    return load(s, d, "lineitem").select("l_returnflag", "l_suppkey", F.col("l_extendedprice").cast("string").alias("raw"))
+
+
+def event_values(s, d):
+    return load(s, d, "events").select("event_type", "user_id", "event_id", F.col("value"), F.col("value").cast("string").alias("raw"))
+
+
+def scalars(s, d):
+    c = F.col("raw")
+    return prices(s, d).select(N.decimal_places(c).alias("places"), N.last_digit(c).alias("last"), N.first_digit(c).alias("first")).groupBy("places", "last", "first").agg(F.count("*").alias("n"))
+
+
+def orders_by_customer(s, d):
+    return sequences.blocks(load(s, d, "orders").withColumn("m", F.month("o_orderdate").cast("double")), ["o_custkey"], ["o_orderkey"], "m")
+
+
+def sizes_by_brand(s, d):
+    p = load(s, d, "part").where("p_size is not null").select((F.col("p_partkey") % 97).alias("block"), "p_partkey", F.col("p_size").cast("double").alias("v"))
+    return sequences.blocks(p, ["block"], ["p_partkey"], "v").withColumn("sheet", F.lit(1))
+
+
+def retail_by_block(s, d):
+    p = load(s, d, "part").select(F.floor(F.col("p_partkey") / 10).cast("long").alias("block"), "p_partkey", F.round("p_retailprice", 2).alias("v"))
+    return sequences.blocks(p, ["block"], ["p_partkey"], "v").withColumn("sheet", F.floor(F.col("block") / 5).cast("long"))
+
+
+def image_hashes(s, d):
+    return hashes.vector_hashes(load(s, d, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES = {
+    "scalar_functions": scalars,
+    "inventory": lambda s, d: digits.inventory(melt(load(s, d, "lineitem"), [], NUMERIC), ["column"]),
+    "digit_summary": lambda s, d: digits.digit_summary(prices(s, d), ["l_returnflag"]),
+    "digit_summary_events": lambda s, d: digits.digit_summary(event_values(s, d), ["event_type"]),
+    "column_audit": lambda s, d: digits.column_audit(melt(load(s, d, "lineitem"), [], NUMERIC), ["column"]),
+    "exact_repeats": lambda s, d: digits.exact_repeats(event_values(s, d), 2),
+    "group_summary": lambda s, d: groups.summary(prices(s, d).withColumn("value", F.col("raw").cast("double")), ["l_suppkey"]),
+    "distribution_audit": lambda s, d: groups.distribution(event_values(s, d), ["event_type"]),
+    "progressions": lambda s, d: groups.progressions(load(s, d, "part").select(F.floor(F.col("p_partkey") / 6).alias("block"), "p_partkey", F.col("p_retailprice").alias("value")), ["block"], ["p_partkey"]),
+    "pair_sums": lambda s, d: groups.pair_sums(load(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("value")), ["l_suppkey"], "l_orderkey", ["l_linenumber", "value"], digits=2),
+    "group_tests": lambda s, d: groups.tests(event_values(s, d), "event_type", "value", ("click", "view")).select("test", F.round("statistic", 4).alias("statistic"), F.round("df1", 3).alias("df1"), F.round("df2", 3).alias("df2")),
+    "duplicate_sequences": lambda s, d: sequences.duplicate_sequences(orders_by_customer(s, d), "o_custkey", 3).select("n", "members", "first_block"),
+    "shared_runs": lambda s, d: sequences.shared_runs(sizes_by_brand(s, d), "block"),
+    "scaled_vectors": lambda s, d: sequences.scaled_vectors(retail_by_block(s, d), "block", ["sheet"]),
+    "window_relations": lambda s, d: sequences.window_relations(retail_by_block(s, d), "block", ["sheet"]),
+    "near_images": lambda s, d: hashes.near_pairs(image_hashes(s, d), "vec_id", 5, 8),
+    "near_pages": lambda s, d: hashes.near_pairs(image_hashes(s, d), "vec_id", 3, 5),
+    "exact_images": lambda s, d: hashes.exact_groups(load(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", "doc_id"),
+    "risk_rollup": lambda s, d: findings.rollup(digits.exact_repeats(event_values(s, d), 1), "places"),
+    "top_findings": lambda s, d: findings.top(digits.exact_repeats(event_values(s, d), 1), ["places"], [F.desc("count"), "value"], 10),
+}
+
+LD = "right(regexp_replace(raw, '[^0-9]', '', 'g'), 1)"
+FD = "regexp_extract(raw, '[1-9]', 0)"
+DP = "length(regexp_extract(raw, '\\.([0-9]*)$', 1))"
+EV = "(SELECT event_type, value, CAST(value AS VARCHAR) AS raw FROM events WHERE value IS NOT NULL)"
+PR = "(SELECT l_returnflag, l_suppkey, l_extendedprice AS value, CAST(l_extendedprice AS VARCHAR) AS raw FROM lineitem WHERE l_extendedprice IS NOT NULL)"
+MELT = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, CAST({c} AS VARCHAR) AS raw FROM lineitem WHERE {c} IS NOT NULL" for c in NUMERIC) + ")"
+
+
+def digit_sql(source: str, by: str) -> str:
+    return f"""
+WITH c AS (SELECT {by}, {LD} AS ld, {FD} AS fd, abs(value) AS v FROM {source}),
+l AS (SELECT {by}, ld, count(*) AS k FROM c GROUP BY ALL),
+t AS (SELECT {by}, count(*) AS n, count(*) FILTER (v > 0) AS nz, max(v) FILTER (v > 0) / min(v) FILTER (v > 0) AS span FROM c GROUP BY ALL),
+a AS (SELECT {by}, any_value(n) AS n, -sum(k / n * log2(k / n)) AS e, sum(k * k) * 10.0 / any_value(n) - any_value(n) AS x, max(k) / any_value(n) AS m,
+      coalesce(sum(k) FILTER (ld IN ('0', '5')), 0) / any_value(n) AS z FROM l JOIN t USING ({by}) GROUP BY {by}),
+f AS (SELECT {by}, g.d, count(fd) AS k FROM (SELECT DISTINCT {by} FROM c) CROSS JOIN range(1, 10) g(d) LEFT JOIN (SELECT * FROM c WHERE v > 0) c2 USING ({by})
+      WHERE c2.fd = CAST(g.d AS VARCHAR) GROUP BY ALL),
+b AS (SELECT {by}, sum(power(coalesce(k, 0) - nz * log10(1 + 1 / d), 2) / (nz * log10(1 + 1 / d))) AS b FROM (SELECT t.*, r.d FROM t CROSS JOIN range(1, 10) r(d)) LEFT JOIN f USING ({by}, d) WHERE nz >= 50 AND span >= 100 GROUP BY {by}),
+r AS (SELECT {by}, n, round(e, 6) AS entropy, round(x, 6) AS chi_square, round(m, 6) AS max_fraction, round(z, 6) AS zero_five_fraction, round(b, 6) AS benford_chi_square FROM a LEFT JOIN b USING ({by}))
+SELECT *, CASE WHEN n < 20 THEN 'small_n_digit_distribution_summary_only' ELSE concat_ws(';', CASE WHEN max_fraction >= 0.35 THEN 'last_digit_concentration' END,
+  CASE WHEN zero_five_fraction >= 0.4 THEN 'terminal_0_or_5_enrichment' END, CASE WHEN entropy < 2.5 THEN 'low_last_digit_entropy' END,
+  CASE WHEN chi_square >= 27.88 THEN 'last_digit_nonuniform' END, CASE WHEN benford_chi_square >= 26.12 THEN 'benford_deviation' END) END AS flags FROM r"""
+
+
+def repeats_sql(least: int) -> str:
+    return f"SELECT raw AS value, CAST({DP} AS INTEGER) AS places, count(*) AS count, CASE WHEN {DP} >= 6 AND NOT (regexp_matches(raw, '000000|999999') AND {DP} > 6) THEN 'HIGH-RISK_REVIEW' ELSE 'WARN_REVIEW' END AS risk FROM {EV} WHERE {DP} >= {least} GROUP BY raw HAVING count(*) > 1"
+
+
+BITS = """(SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x[i] > m THEN CAST(1 AS HUGEINT) << (64 - i) ELSE 0 END)) AS a,
+ list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x[i] > x[i % 64 + 1] THEN CAST(1 AS HUGEINT) << (64 - i) ELSE 0 END)) AS d
+ FROM (SELECT vec_id, embedding AS x, list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) / 64 AS m FROM embeddings WHERE len(embedding) = 64))"""
+
+
+def near_sql(d: int, a: int) -> str:
+    return f"WITH h AS (SELECT vec_id, CAST(a AS HUGEINT) AS a, CAST(d AS HUGEINT) AS d FROM {BITS}) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.d, y.d)) AS INTEGER) AS dhash_distance, CAST(bit_count(xor(x.a, y.a)) AS INTEGER) AS ahash_distance FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.d, y.d)) <= {d} AND bit_count(xor(x.a, y.a)) <= {a}"
+
+
+SHRINK = "sum(power(value - mu, {k})) / count(*) / power(any_value(sd), {k})"
+ORACLES = {
+    "scalar_functions": f"SELECT CAST({DP} AS INTEGER) AS places, {LD} AS \"last\", {FD} AS \"first\", count(*) AS n FROM {PR} GROUP BY ALL",
+    "inventory": f"SELECT \"column\", count(*) AS nonempty, count(*) AS numeric, CAST(0 AS BIGINT) AS text, CAST(max({DP}) AS INTEGER) AS max_places, count(*) FILTER ({DP} >= 3) AS places_3, count(*) FILTER ({DP} >= 8) AS places_8 FROM {MELT} GROUP BY 1",
+    "digit_summary": digit_sql(PR, "l_returnflag"),
+    "digit_summary_events": digit_sql(EV, "event_type"),
+    "column_audit": f"""WITH a AS (SELECT "column", count(*) AS filled, count(*) AS n, count(DISTINCT {DP}) AS distinct_places, CAST(max({DP}) AS INTEGER) AS max_places, count(*) FILTER ({DP} >= 3) AS long_decimals,
+ count(*) FILTER (value = floor(value) AND {DP} > 0) AS whole_as_decimal, count(*) FILTER ({LD} IN ('0', '5')) AS zero_five, CAST(0 AS BIGINT) AS off_grid FROM {MELT} GROUP BY 1)
+ SELECT *, concat_ws(';', CASE WHEN distinct_places > 2 THEN 'mixed_decimal_precision' END, CASE WHEN long_decimals > 0 THEN 'long_decimal' END, CASE WHEN whole_as_decimal > 0 THEN 'integer_reported_as_decimal' END,
+ CASE WHEN n >= 20 AND zero_five >= 0.45 * n THEN 'terminal_0_or_5_enrichment' END) AS flags FROM a""",
+    "exact_repeats": repeats_sql(2),
+    "group_summary": f"SELECT l_suppkey, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem, min(value) AS min, max(value) AS max, count(*) - count(DISTINCT value) AS duplicates FROM {PR} GROUP BY 1",
+    "distribution_audit": f"""WITH m AS (SELECT event_type, avg(value) AS mu, stddev_samp(value) AS sd FROM {EV} GROUP BY 1)
+ SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 5) AS iqr,
+ round({SHRINK.format(k=3)}, 5) AS skewness, round({SHRINK.format(k=4)} - 3, 5) AS excess_kurtosis FROM {EV} JOIN m USING (event_type) GROUP BY 1""",
+    "progressions": """WITH d AS (SELECT floor(p_partkey / 6)::BIGINT AS block, p_retailprice AS v, p_retailprice - lag(p_retailprice) OVER (PARTITION BY floor(p_partkey / 6) ORDER BY p_partkey) AS d FROM part WHERE p_retailprice IS NOT NULL),
+ a AS (SELECT block, count(*) AS n, min(d) AS lo, max(d) AS hi, (max(v) - min(v)) / (count(*) - 1) * CASE WHEN min(d) < 0 THEN -1 ELSE 1 END AS st FROM d GROUP BY 1)
+ SELECT block, n, round(st, 6) AS step, greatest(abs(lo - st), abs(hi - st)) <= 0.001 AS near_exact FROM a WHERE n >= 5 AND (lo >= 0 OR hi <= 0) AND NOT (lo = 0 AND hi = 0)""",
+    "pair_sums": """WITH p AS (SELECT l_suppkey, l_orderkey, l_quantity AS v, (row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_quantity) - 1) // 2 AS k FROM lineitem WHERE l_quantity IS NOT NULL),
+ s AS (SELECT l_suppkey, l_orderkey, round(sum(v), 2) AS s FROM p GROUP BY l_suppkey, l_orderkey, k HAVING count(*) = 2), m AS (SELECT l_suppkey, s, count(*) AS m FROM s GROUP BY ALL),
+ t AS (SELECT *, sum(m) OVER (PARTITION BY l_suppkey) AS pairs, row_number() OVER (PARTITION BY l_suppkey ORDER BY m DESC, s) AS r FROM m)
+ SELECT l_suppkey, CAST(pairs AS BIGINT) AS pairs, m AS matching, s AS target, pairs >= 12 AND m >= greatest(10, ceil(pairs * 0.8)) AS candidate FROM t WHERE r = 1""",
+    "duplicate_sequences": """WITH b AS (SELECT o_custkey, list(month(o_orderdate) ORDER BY o_orderkey) AS v FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
+ SELECT CAST(len(v) AS INTEGER) AS n, count(*) AS members, min(o_custkey) AS first_block FROM b WHERE len(v) >= 3 AND list_min(v) < list_max(v) GROUP BY v HAVING count(*) > 1""",
+    "near_images": near_sql(5, 8),
+    "near_pages": near_sql(3, 5),
+    "exact_images": "SELECT sha256(text) AS sha, count(*) AS members, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "risk_rollup": f"SELECT places, count(*) AS total, count(*) FILTER (contains(risk, 'HIGH')) AS high, count(*) FILTER (NOT contains(risk, 'HIGH')) AS warn FROM ({repeats_sql(1)}) GROUP BY 1",
+    "top_findings": f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY places ORDER BY count DESC, value) AS INTEGER) AS rank FROM ({repeats_sql(1)})) WHERE rank <= 10",
+}
