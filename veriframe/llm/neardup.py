@@ -151,7 +151,11 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_ = cut(labelled.join(mixed, ["band", "key"], "left_semi"))
     x = open_.select("band", "key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("a").alias("tried"))
     y = open_.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    rest = x.join(y, ["band", "key"]).where("ca < cb and a <> tried and b <> tried").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # components meet first, then their members, so that no join goes over pairs within one component
+    some = groups.join(mixed, ["band", "key"], "left_semi").select("band", "key", F.col("comp").alias("ca"))
+    meet = some.join(some.withColumnRenamed("ca", "cb"), ["band", "key"]).where("ca < cb")
+    rest = meet.join(x, ["band", "key", "ca"]).join(y, ["band", "key", "cb"]).where("a <> tried and b <> tried")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = confirm(rest, sketch, texts, percent)
     comp = components(first.union(second))
     of = ids.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
