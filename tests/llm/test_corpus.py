@@ -91,6 +91,13 @@ def test_decontamination(spark, texts):
     assert {(5, 0), (5, 4)} <= got and {d for d, _ in got} <= {5, 15, 25}
 
 
+def test_decontamination_of_short_texts(spark):
+    item = " ".join(VOCAB[:60])
+    docs = spark.createDataFrame([(1, " ".join(VOCAB[:56])), (2, " ".join(VOCAB[:40])), (3, "a b " + " ".join(VOCAB[4:60]) + " c d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_words"] for r in decontam.contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert got == {1: 56, 3: 60}
+
+
 def test_pii(spark):
     text = "ümail a@b.co and c.d@e.f_g@h.ij ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (743) 555-3824."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "9" * 20000), (1, text)], "doc_id long, text string")

@@ -3,7 +3,7 @@
 Every window of a document with as many words as a benchmark item, and enough of its shingles to reach the
 similarity, gets a 64-bit SimHash over its weighted shingles. Fingerprints within the radius share one of radius+1
 Hamming blocks (pigeonhole), which the multi-index looks up; candidates are confirmed by exact weighted-shingle
-similarity (sum of minima over sum of maxima). Items with fewer words than a shingle are matched as one shingle;
+similarity (sum of minima over sum of maxima). A text shorter than an item is one window for it. Items with fewer words than a shingle are matched as one shingle;
 null or empty items and texts match nothing. The benchmark is counted and sent out in blocks of ``item_block`` items
 at most. Repeated documents are judged each; repeated items are reported by each of their ids. Empty tables give
 empty results.
@@ -84,10 +84,12 @@ class Items:
             pos, own = pos[order], own[order]
             for k, first, n in zip(*np.unique(own, return_index=True, return_counts=True), strict=True):
                 item_id, n_words, sh, weights = self.items[k]
-                if min(WIDTH, n_words) != width or len(h) < len(sh):
+                # a text shorter than the item is one window
+                size, total = min(len(sh), len(h)), len(sh) + min(len(sh), len(h))
+                if min(WIDTH, n_words) != width or size < similarity * len(sh):
                     continue
                 hits = pos[first : first + n]
-                size, need = len(sh), int(np.ceil(2 * similarity / (1 + similarity) * len(sh) - 1e-9))
+                need = int(np.ceil(similarity / (1 + similarity) * total - 1e-9))
                 # a window that reaches the similarity starts within a window of a hit and holds enough hits
                 if n < need:
                     continue
@@ -103,11 +105,11 @@ class Items:
                         if k in near:
                             w = Counter(h[start : start + size].tolist())
                             both = sum((w & weights).values())
-                            sim = both / (2 * size - both)
+                            sim = both / (total - both)
                             if sim >= similarity and (best is None or sim > best[0]):
                                 best = (sim, start)
                 if best:
-                    found.append((item_id, best[0], best[1], n_words))
+                    found.append((item_id, best[0], best[1], size + width - 1))
         return found
 
 
