@@ -74,6 +74,18 @@ def test_packing(spark, texts):
     assert got[got.doc_id == 36].ids_crc32.tolist() == [zlib.crc32(np.array([1], "<u4").tobytes())]
 
 
+def test_encoder_equals_whole_text_encoding():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.Encoder(packing.TOKENIZER, memo=50, word_chars=8)
+    odd = ["", " ", "It's A\u0301 \u0301b e\u0301\n\u0301x", "a<|endoftext|> b <|startoftext|>c", "\u03a3\u03a3 \u0130 \u00a0x\u2003y\x1cz\x85w\x0bq\x0cr", "12 345don't'll", "\u0000a \u0000", "日本 語\t\t!!! ?!", "x" * 3000]
+    rng = random.Random(5)
+    odd += ["".join(rng.choices("aB1 '\n\u0301\u03a3<|endoftx>é\u200d😀\x1c\u3000", k=200)) for _ in range(300)]
+    for t in odd:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_length():
     rng = random.Random(1)
     counts = {rng.randint(1, 99): rng.randint(1, 50) for _ in range(60)}

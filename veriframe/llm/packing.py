@@ -11,6 +11,7 @@ Null and empty texts are one piece holding the end id; repeated rows are packed
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,37 +23,46 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
+WORD = re.compile(r"[^ \t\r\n]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, batch_chars: int = 500_000) -> DataFrame:
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Encoder:
+    """Texts to little-endian 32-bit ids, by way of a bounded memo of words.
+
+    The tokenizer never joins text across blank, tab or line ends, so a text's ids are those of its words in order.
+    """
+
+    def __init__(self, tokenizer: str, memo: int = 200_000, word_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        self.tok, self.memo, self.limit, self.word_chars = Tokenizer.from_file(public_tokenizers.path(tokenizer)), {}, memo, word_chars
 
-        def out_of(ids: list, texts: list) -> pd.DataFrame:
-            rows = []
-            for doc, enc in zip(ids, encode(texts, add_special_tokens=False), strict=True):
-                a = np.array([*enc.ids, END_ID], dtype="<u4")
-                rows += [(doc, k, s, len(p := a[s : s + capacity]), zlib.crc32(p.tobytes())) for k, s in enumerate(range(0, len(a), capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            return out.astype({"doc_id": "Int64"})
+    def ids(self, text: str) -> bytes:
+        words = WORD.findall(text)
+        new = list(set(words).difference(self.memo))
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True)}
+        known = self.memo
+        out = b"".join([fresh[w] if w in fresh else known[w] for w in words] if fresh else map(known.__getitem__, words))
+        if len(known) + len(fresh) > self.limit:
+            known.clear()
+        known.update((w, b) for w, b in fresh.items() if len(w) <= self.word_chars)
+        return out
 
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, end = Encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            ids, texts, chars = [], [], 0
+            rows = []
             for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                ids.append(doc)
-                texts.append(text or "")
-                chars += len(texts[-1])
-                if chars >= batch_chars:
-                    yield out_of(ids, texts)
-                    ids, texts, chars = [], [], 0
-            if ids:
-                yield out_of(ids, texts)
+                ids = encoder.ids(text or "") + end
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[s : s + 4 * capacity]
+                    rows.append((doc, k, s // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tokenise, PIECE)
 
