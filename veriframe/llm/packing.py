@@ -33,7 +33,7 @@ class Encoder:
     The tokenizer never joins text across blank, tab or line ends, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, tokenizer: str, memo: int = 200_000, word_chars: int = 64):
+    def __init__(self, tokenizer: str, memo: int = 500_000, word_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -43,7 +43,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         words = WORD.findall(text)
         new = list(set(words).difference(self.memo))
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True)}
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         known = self.memo
         out = b"".join([fresh[w] if w in fresh else known[w] for w in words] if fresh else map(known.__getitem__, words))
         if len(known) + len(fresh) > self.limit:
