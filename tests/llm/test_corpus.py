@@ -161,6 +161,26 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, None), 4: ("GPL-3.0", "MIT"), 5: (None, "MIT")}
 
 
+NOTICES = {
+    # every form that occurs in documents
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: ISC": None, '{"license": "MIT"}': "MIT",
+    "MIT License": "MIT", "Copyright (c) 2020 Acme. All rights reserved.": "proprietary", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": None, "GNU Lesser General Public License, version 3": None,
+    "Mozilla Public License, Version 2.0": "MPL-2.0", "BSD 3-Clause License": "BSD-3-Clause", "The license of the road is all we need.": None,
+    "/*\n * Copyright 2020 Acme. All rights reserved.\n *\n * Licensed under the\n * Apache License,\n * Version 2.0 (the \"License\");\n * you may not use this file.\n */\nint x;": "Apache-2.0",
+    "# All rights\n# reserved.\nx = 1": "proprietary", "prose " * 40 + "released under the MIT License, as all know " + "prose " * 40: "MIT",
+    "Copyright (c) 2020, Acme\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n": "BSD-3-Clause",
+}
+
+
+def test_licence_notices():
+    t = licenses.Templates()
+    assert {x: t.best(x)[0] for x in NOTICES} == NOTICES
+    full = "MIT License\n\nCopyright (c) 2020 Acme\n\n" + "\n\n".join(x.replace(" the ", "\nthe ") for x in licenses.TEMPLATES["MIT"][5:])
+    assert t.best(full)[0] == "MIT" and t.best(full)[2] >= 0.5
+
+
 def test_quality(spark):
     good, bad = " ".join(VOCAB[:60]), "BUY NOW!! ### $$$ " * 20
     docs = spark.createDataFrame([(i, good + str(i) if i % 3 else bad + str(i)) for i in range(200)] + [(500, None), (501, "")], "doc_id long, text string")

@@ -1,10 +1,14 @@
-"""Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
-
-Every line of a whole text that holds a licence cue is compared with the templates; the best cosine at or over the
-threshold names the document's licence. Term weights come from the templates, a fixed set. A file that is nothing but
-a notice (at least half of its words) is a licence file and speaks for its directory; documents without a notice
-take over the licence of the nearest ancestor directory that has exactly one, by joins on the path's ancestors.
-Null and empty texts have no notice but inherit; a null path part is '~'; ties go to the first name in order.
+"""Licence scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest directory above.
+
+A licence has several templates: short notices and the paragraphs of its header or text. Compared are, where they
+hold a licence cue, single lines and whole paragraphs (lines joined up to one without words) with THRESHOLD, and the
+stretches of a paragraph as long as a template with the stricter NEAR, which finds notices that are wrapped or stand
+within other words. A licence tag (SPDX or "license: id") names its licence by itself. The best cosine names the
+document's licence; "all rights reserved" counts only where nothing else is found. Term weights come from the
+templates, a fixed set. A file that is nothing but a notice (at least half of its words stand in notices) is a
+licence file and speaks for its directory; documents without a notice take over the licence of the nearest ancestor
+directory that has exactly one, by joins on the path's ancestors. Null and empty texts have no notice but inherit;
+a null path part is '~'; ties go to the first name in order.
 """
 
 from __future__ import annotations
@@ -14,53 +18,145 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-# Short notices of public licences.
+# Short notices and header paragraphs of public licences.
 TEMPLATES = {
-    "Apache-2.0": "licensed under the apache license version 2.0",
-    "BSD-3-Clause": "redistribution and use in source and binary forms with or without modification are permitted bsd license",
-    "CC-BY-4.0": "licensed under cc by 4.0 creative commons attribution",
-    "CC-BY-NC-4.0": "licensed under cc by nc 4.0 creative commons attribution noncommercial",
-    "GPL-3.0": "this work is licensed under the gnu general public license version 3",
-    "MIT": "released under the mit license permission is hereby granted free of charge",
-    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license version 2.0",
-    "proprietary": "all rights reserved no part may be reproduced without permission of the copyright holder",
+    "Apache-2.0": (
+        "licensed under the apache license version 2.0", "apache license version 2.0", "apache license 2.0", "apache license version 2.0 january 2004 http www.apache.org licenses",
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "BSD-3-Clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted bsd license", "bsd 3 clause license", "3 clause bsd license", "new bsd license",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "CC-BY-4.0": ("licensed under cc by 4.0 creative commons attribution", "licensed under cc by 4.0", "creative commons attribution 4.0 international license", "licensed under a creative commons attribution 4.0 international license"),
+    "CC-BY-NC-4.0": ("licensed under cc by nc 4.0 creative commons attribution noncommercial", "licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license", "licensed under a creative commons attribution noncommercial 4.0 international license"),
+    "GPL-3.0": (
+        "this work is licensed under the gnu general public license version 3", "gnu general public license version 3", "gnu general public license v3", "licensed under the gpl version 3",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "MIT": (
+        "released under the mit license permission is hereby granted free of charge", "released under the mit license", "licensed under the mit license", "mit license", "the mit license mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "MPL-2.0": ("this source code form is subject to the terms of the mozilla public license version 2.0", "mozilla public license version 2.0", "mozilla public license v 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0"),
+    "proprietary": ("all rights reserved no part may be reproduced without permission of the copyright holder", "all rights reserved"),
 }
-CUE = re.compile(r"licen[sc]e|copyright|rights reserved|redistribution|permission is|creative commons|spdx", re.I)
-THRESHOLD, WORD = 0.55, re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+RESERVED = "proprietary"
+# Words by which a notice of another licence differs from one that it resembles.
+FOREIGN = {"CC-BY-4.0": {"nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives"}, "CC-BY-NC-4.0": {"sa", "sharealike", "nd", "noderivatives"}, "GPL-3.0": {"lesser", "library", "affero"}}
+CUE = re.compile(r"licen[sc]e|copyright|rights reserved|redistribution|permission is|creative commons|spdx|\bgpl\b", re.I)
+HINT = re.compile(r"licen[sc]e|copyright|reserved|redistribution|permission|commons|spdx|\bgpl\b", re.I)  # a word of each cue, which may be wrapped
+SPDX = re.compile(r"spdx-licen[sc]e-identifier\s*:\s*(.*)", re.I)
+TAG = re.compile(r"\blicen[sc]e[\"']?\s*[:=]\s*[\"']?([a-z0-9][a-z0-9.+-]*)", re.I)
+ID = re.compile(r"[a-z0-9][a-z0-9.+-]*", re.I)
+IDS = {k.lower(): k for k in TEMPLATES} | {f"gpl-3.0{x}": "GPL-3.0" for x in ("+", "-only", "-or-later")}
+THRESHOLD, NEAR, WORD = 0.55, 0.85, re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 class Templates:
     def __init__(self):
-        words = {k: Counter(WORD.findall(v)) for k, v in TEMPLATES.items()}
-        df = Counter(w for c in words.values() for w in c)
-        self.idf = {w: 1 + math.log(len(words) / n) for w, n in df.items()}
-        self.rare = 1 + math.log(len(words))
-        self.vectors = {k: self.unit(c) for k, c in words.items()}
+        lists = [(k, WORD.findall(v)) for k, vs in sorted(TEMPLATES.items()) for v in vs]
+        df = Counter(w for k in TEMPLATES for w in {w for name, v in lists if name == k for w in v})
+        self.idf = {w: 1 + math.log(len(TEMPLATES) / n) for w, n in df.items()}
+        self.rare = 1 + math.log(len(TEMPLATES))
+        self.names, self.sizes = [k for k, _ in lists], [len(v) for _, v in lists]
+        self.vectors = [self.unit(Counter(v)) for _, v in lists]
+        self.at = {w: i for i, w in enumerate(self.idf)}
+        self.weight = np.array([*self.idf.values(), self.rare])
+        self.matrix = np.array([[t.get(w, 0.0) for w in self.idf] + [0.0] for t in self.vectors]) * self.weight
 
     def unit(self, count: Counter) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.rare) for w, n in count.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / norm for w, x in v.items()}
 
+    def whole(self, words: list[str]) -> list[tuple[str, float]]:
+        """Names and cosines at or over THRESHOLD of a line or paragraph."""
+        v = self.unit(Counter(words))
+        out = ((k, sum(x * t.get(w, 0.0) for w, x in v.items())) for k, t in zip(self.names, self.vectors, strict=True) if not FOREIGN.get(k, set()) & v.keys())
+        return [(k, c) for k, c in out if c >= THRESHOLD]
+
+    def stretches(self, words: list[str]) -> list[tuple[str, float, int, int]]:
+        """Name, cosine, start and end of stretches at or over NEAR that are as long as a template and hold a word of a cue."""
+        ids = np.array([self.at.get(w, len(self.at)) for w in words])
+        sums = lambda x: np.concatenate([np.zeros((*x.shape[:-1], 1)), np.cumsum(x, axis=-1)], axis=-1)
+        cues, norms, tops = sums(np.array([bool(HINT.search(w)) for w in words], float)), sums(self.weight[ids] ** 2), sums(self.matrix[:, ids])
+        out, kept = [], []
+        for i, (k, n) in enumerate(zip(self.names, self.sizes, strict=True)):
+            if n > len(words):
+                continue
+            # a repeated word makes the true norm larger, so this is never below the cosine
+            bound = (tops[i, n:] - tops[i, :-n]) / np.sqrt(norms[n:] - norms[:-n])
+            for a in np.flatnonzero((bound >= NEAR - 1e-6) & (cues[n:] > cues[:-n])).tolist():
+                v = self.unit(Counter(words[a : a + n]))
+                cos = sum(x * self.vectors[i].get(w, 0.0) for w, x in v.items())
+                if cos >= NEAR and not FOREIGN.get(k, set()) & set(words[max(0, a - 3) : a + n + 3]):
+                    out.append((k, cos, a, a + n))
+        taken = np.zeros(len(words), bool)
+        for x in sorted(out, key=lambda x: (-round(x[1], 9), x[2] - x[3], x[0], x[2])):
+            if not taken[x[2] : x[3]].any():
+                taken[x[2] : x[3]] = True
+                kept.append(x)
+        return kept
+
+    def paragraph(self, lines: list[str]) -> tuple[list[tuple[str, float]], float]:
+        """Names and cosines found in joined lines, and the number of their words that stand in notices."""
+        found, words, of, noticed = [], [], [], np.zeros(len(lines))
+        for i, line in enumerate(lines):
+            spdx, tag = SPDX.search(line), TAG.search(line)
+            ids = ID.findall(spdx[1]) if spdx else [tag[1].rstrip(".")] if tag else []
+            known = [(IDS[x.lower()], 1.0) for x in ids if x.lower() in IDS]
+            own = WORD.findall(line.lower())
+            if not spdx and not known:
+                words += own
+                of += [i] * len(own)
+                known = self.whole(own) if CUE.search(line) else []
+            found += known
+            noticed[i] = bool(known)
+        if HINT.search(" ".join(words)):
+            if len(lines) > 1 and CUE.search(" ".join(words)) and (joined := self.whole(words)):
+                found += joined
+                noticed[sorted(set(of))] = 1
+            size, part = Counter(of), Counter()
+            for k, cos, a, b in self.stretches(words):
+                found.append((k, cos))
+                part.update(of[a:b])
+            for i, n in part.items():
+                noticed[i] = max(noticed[i], n / size[i])
+        return found, float(sum(n * len(x.split()) for n, x in zip(noticed, lines, strict=True)))
+
     def best(self, text: str | None) -> tuple[str | None, float, float]:
-        """(licence, cosine, share of the text's words that stand in notice lines)"""
-        found, top, noticed, words = None, 0.0, 0, 0
-        for line in re.split(r"[\r\n]+", text or ""):
-            words += (n := len(line.split()))
-            if CUE.search(line):
-                v = self.unit(Counter(WORD.findall(line.lower())))
-                cos, name = max(((sum(x * t.get(w, 0.0) for w, x in v.items()), k) for k, t in sorted(self.vectors.items(), reverse=True)), key=lambda x: (x[0],))
-                if cos >= THRESHOLD:
+        """(licence, cosine, share of the text's words that stand in notices)"""
+        if not HINT.search(text or ""):
+            return None, 0.0, 0.0
+        found, noticed, words, lines = [], 0.0, 0, []
+        for line in [*re.split(r"[\r\n]", text), ""]:
+            words += len(line.split())
+            if re.search(r"\w", line):
+                lines.append(line)
+            elif lines:
+                if any(HINT.search(x) for x in lines):
+                    here, n = self.paragraph(lines)
+                    found += here
                     noticed += n
-                    if cos > top:
-                        found, top = name, cos
-        return found, top, noticed / words if words else 0.0
+                lines = []
+        if not found:
+            return None, 0.0, 0.0
+        name, cos = min(found, key=lambda x: (x[0] == RESERVED, -round(x[1], 9), x[0]))
+        return name, cos, noticed / words
 
 
 def scan(docs: DataFrame) -> DataFrame:
