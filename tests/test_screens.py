@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -78,6 +79,27 @@ def test_relations(spark):
     assert sequences.shared_runs(vectors(spark, (5, 5, 5), (5, 5, 5)), "block").count() == 0
 
 
+def test_scaled_vectors_equal_brute_force_on_decimals(spark):
+    rng, vals = random.Random(1), []
+    for _ in range(60):
+        v = [2000.0, *(round(rng.uniform(1, 9000), 2) for _ in range(9))]
+        vals += [v, [3 * x for x in v], [round(-7.31 * x, 2) for x in v]]
+    for _ in range(60):
+        v = [round(rng.uniform(1e4, 1e5), 2) for _ in range(5)]
+        vals += [v, [round(1.37 * x, 2) for x in v]]
+    vals += [[1e-6 * x for x in (1, 3, 2)], [2.0001e-6 * x for x in (1, 3, 2)], [0.0, 0.0, 0.0], [1e-7, 3.004e-7, 2e-7]]
+
+    def passes(a, b):
+        if len(a) != len(b) or max(a) == min(a) or max(b) == min(b):
+            return False
+        r = sum(x * y for x, y in zip(a, b)) / sum(x * x for x in a)
+        return abs(r - 1) > 1e-6 and all(abs(y - r * x) <= max(1e-9, 1e-6 * abs(y)) for x, y in zip(a, b))
+
+    want = {(i, j) for j in range(len(vals)) for i in range(j) if passes(vals[i], vals[j])}
+    got = sorted((r["a"], r["b"]) for r in sequences.scaled_vectors(vectors(spark, *vals), "block", ["sheet"]).collect())
+    assert len(want) >= 150 and got == sorted(want)
+
+
 def test_near_hashes(spark):
     df = spark.createDataFrame([(1, 0xF, 0), (2, 0, 0), (3, 0x3F << 20, 0)], "k int, dhash long, ahash long")
     assert [(r["a"], r["b"], r["dhash_distance"]) for r in hashes.near_pairs(df, "k").collect()] == [(1, 2, 4)]

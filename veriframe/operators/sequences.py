@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +43,56 @@ def shared_runs(b: DataFrame, key: str, least: int = 3) -> DataFrame:
     return runs.withColumn("r", F.row_number().over(best)).where("r = 1 and varies").select("a", "b", (F.col("k") + least - 1).cast("int").alias("length"), (F.col("pa") + 1).alias("offset_a"), (F.col("pb") + 1).alias("offset_b"))
 
 
+LEVELS, FINE, STEP, LEAST_GAP = 6, 5e-5, 8, 6e-6  # cell widths FINE * STEP ** level; the level after them has one cell
+
+
+def total(vals: Column) -> Column:
+    return F.aggregate(vals, F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(vals: Column) -> Column:
+    return F.sqrt(total(F.transform(vals, lambda x: x * x)))
+
+
+def projections(vals: Column) -> Column:
+    """Three projections of the direction of vals: directions that are d apart differ by at most d in each."""
+    unit = norm(vals) * F.sqrt(F.size(vals).cast("double"))
+    wave = lambda f: total(F.transform(vals, lambda x, i: x * F.cos((i + 1) * f)))
+    return F.array(*[wave(f) / unit for f in (0.7, 1.9, 3.1)])
+
+
+def source_keys(p: Column) -> Column:
+    """The cell of the projections on every level."""
+    cells = lambda width: F.transform(p, lambda x: F.floor(x / width))
+    return F.array(*[F.struct(F.lit(k).alias("level"), c.alias("cell")) for k, c in enumerate([*[cells(FINE * STEP**k) for k in range(LEVELS)], F.transform(p, lambda x: F.lit(0).cast("bigint"))])])
+
+
+def target_keys(p: Column, gap: Column) -> Column:
+    """All cells, of either sign, that hold directions up to gap apart, on the finest level with cells of 8 gaps."""
+    level = reduce(lambda rest, k: F.when(gap * 8 <= FINE * STEP**k, k).otherwise(rest), reversed(range(LEVELS)), F.lit(LEVELS))
+    width = F.lit(FINE) * F.pow(F.lit(float(STEP)), level)
+    near = [F.when(level == LEVELS, F.transform(p, lambda x: F.lit(0).cast("bigint"))).otherwise(F.array(*[F.floor((sign * p[i] + e * gap) / width) for i, e in enumerate(ends)])) for sign in (1, -1) for ends in product((-1, 1), repeat=3)]
+    return F.transform(F.array_distinct(F.array(*near)), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+
+def gap(vals: Column, basis: Column, rel: float) -> Column:
+    """How far the direction of basis may lie from its source's when vals are off by rel of themselves or by 1e-9."""
+    return F.greatest(F.lit(LEAST_GAP), 2.1 * (rel * norm(vals) + 1e-9 * F.sqrt(F.size(vals).cast("double"))) / norm(basis))
+
+
 def scaled_vectors(b: DataFrame, key: str, layout: list[str], rel: float = 1e-6, least: int = 3) -> DataFrame:
-    """Pairs of equal layout and length with one fixed ratio, found by an equal normalised shape."""
-    first = F.get(F.filter("vals", lambda x: F.abs(x) > 1e-9), 0)
-    d = b.where((F.size("vals") >= least) & varies(F.col("vals")) & first.isNotNull()).withColumns({"shape": F.transform("vals", lambda x: F.round(x / first, 5) + 0.0), "lead": first})
-    x = d.select(*layout, "shape", F.col(key).alias("a"), F.col("vals").alias("va"))
-    y = d.select(*layout, "shape", F.col(key).alias("b"), F.col("vals").alias("vb"))
+    """Pairs of equal layout and length with one fixed ratio.
+
+    Pairs meet by cells of their directions, neighbouring cells included, so none that passes the check is missed.
+    """
+    largest = F.array_max(F.transform("vals", lambda x: F.abs(x)))
+    d = b.where((F.size("vals") >= least) & varies(F.col("vals")) & (largest > 1e-9) & (largest < float("inf"))).withColumns({"n": F.size("vals"), "p": projections(F.transform("vals", lambda x: x / largest)), "gap": gap(F.col("vals"), F.col("vals"), rel)})
+    x = d.select(*layout, "n", F.explode(source_keys(F.col("p"))).alias("at"), F.col(key).alias("a"), F.col("vals").alias("va"))
+    y = d.select(*layout, "n", F.explode(target_keys(F.col("p"), F.col("gap"))).alias("at"), F.col(key).alias("b"), F.col("vals").alias("vb"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    j = x.join(y, [*layout, "shape"]).where("a < b").withColumn("ratio", dot(F.col("va"), F.col("vb")) / dot(F.col("va"), F.col("va")))
+    j = x.join(y, [*layout, "n", "at"]).where("a < b").withColumn("ratio", dot(F.col("va"), F.col("vb")) / dot(F.col("va"), F.col("va")))
     ok = F.forall(F.zip_with("va", "vb", lambda s, t: F.struct(s.alias("s"), t.alias("t"))), lambda p: F.abs(p["t"] - F.col("ratio") * p["s"]) <= F.greatest(F.lit(1e-9), rel * F.abs(p["t"])))
-    return j.where(ok & (F.abs(F.col("ratio") - 1) > rel)).select(*layout, "a", "b", F.round("ratio", 6).alias("ratio"))
+    return j.where(ok & (F.abs(F.col("ratio") - 1) > rel) & (F.abs(F.col("ratio")) > 1e-9)).select(*layout, "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def window_relations(b: DataFrame, key: str, layout: list[str], length: int = 3, digits: int = 6) -> DataFrame:
