@@ -79,6 +79,14 @@ def test_relations(spark):
     assert sequences.shared_runs(vectors(spark, (5, 5, 5), (5, 5, 5)), "block").count() == 0
 
 
+@pytest.mark.parametrize("target,want", [((7.5, 2.5, 22.5, 10, 5, 13), ("target = source * constant", 2.5, None)), ((8.5, 3.5, 23.5, 11, 6, 14), ("target = source * constant + offset", 2.5, 1.0)), ((4, 12, 4 / 3, 3, 6, 2.3), ("target = constant / source", 12.0, None)), ((1000003.4, 1000001.2, 1000009.1, 1000003.9, 1000002.2, 1), ("target = source + constant", None, None))])
+def test_window_families(spark, target, want):
+    source = (3, 1, 9, 4, 2, 50)
+    got = [r for r in sequences.window_relations(vectors(spark, source, target), "block", ["sheet"]).collect() if r["relation"] == want[0]]
+    assert {(r["pa"], r["pb"], r["length"]) for r in got} >= {(p, p, n) for n in (3, 4, 5) for p in range(6 - n)}
+    assert want[1] is None or {(r["constant"], r["offset"]) for r in got if r["pa"] == r["pb"]} == {want[1:]}
+
+
 def test_scaled_vectors_equal_brute_force_on_decimals(spark):
     rng, vals = random.Random(1), []
     for _ in range(60):

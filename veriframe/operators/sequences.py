@@ -95,15 +95,76 @@ def scaled_vectors(b: DataFrame, key: str, layout: list[str], rel: float = 1e-6,
     return j.where(ok & (F.abs(F.col("ratio") - 1) > rel) & (F.abs(F.col("ratio")) > 1e-9)).select(*layout, "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-def window_relations(b: DataFrame, key: str, layout: list[str], length: int = 3, digits: int = 6) -> DataFrame:
-    """Windows of neighbouring blocks with target = source + constant or target = constant - source."""
+def mean(vals: Column) -> Column:
+    return total(vals) / F.size(vals)
+
+
+def close(seen: Column, want: Column, rel: float) -> Column:
+    """All within 1e-9, or all within rel of the larger side."""
+    error = F.zip_with(seen, want, lambda x, y: F.abs(x - y))
+    share = F.zip_with(seen, want, lambda x, y: F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-9)))
+    return (F.array_max(error) <= 1e-9) | (F.array_max(share) <= rel)
+
+
+def times(vals: Column, by: Column, plus: Column | float = 0.0) -> Column:
+    return F.transform(vals, lambda x: x * by + plus)
+
+
+def scale(s: Column, t: Column) -> Column:
+    """Least-squares ratio of t to s over at least three values other than 0; null if there is none."""
+    both = F.filter(F.zip_with(s, t, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: F.abs(p["x"]) > 1e-9)
+    square = total(F.transform(both, lambda p: p["x"] * p["x"]))
+    ratio = total(F.transform(both, lambda p: p["x"] * p["y"])) / F.when(square > 1e-9, square)
+    return F.when((F.size(both) >= 3) & (F.abs(ratio) > 1e-9), ratio)
+
+
+def differs(vals: Column) -> Column:
+    """Not constant in ten significant digits."""
+    return F.format_string("%.9e", F.array_min(vals)) != F.format_string("%.9e", F.array_max(vals))
+
+
+def window_relations(b: DataFrame, key: str, layout: list[str], length: int = 3, digits: int = 6, longest: int = 6, rel: float = 1e-6) -> DataFrame:
+    """Windows of length to longest values of neighbouring blocks where the target is constant - source, or the first
+    of source + constant, source * constant, source * constant + offset and constant / source that holds.
+
+    Windows meet by cells of the directions of their centred values or of 1 / source and target; a relation is then
+    verified. Ratios that hold between the whole blocks are left to scaled_vectors.
+    """
     order = Window.partitionBy(*layout).orderBy(key)
-    next_ = b.select(*layout, key).withColumn("b", F.lead(key).over(order)).where("b is not null").select(F.col(key).alias("a"), "b")
-    w = grams(b, key, length).where(varies(F.col("gram")))
-    shape = F.transform("gram", lambda x: F.round(x - F.col("gram")[0], digits) + 0.0)
-    w = w.withColumn("shape", shape)
-    near = next_.join(w.select(F.col(key).alias("a"), F.col("pos").alias("pa"), F.col("gram").alias("ga"), F.col("shape").alias("sa")), "a")
-    target = w.select(F.col(key).alias("b"), F.col("pos").alias("pb"), F.col("gram").alias("gb"), F.col("shape").alias("sb"))
-    plus = near.join(target.withColumnRenamed("sb", "sa"), ["b", "sa"]).select("a", "b", "pa", "pb", F.lit("target = source + constant").alias("relation"), F.round(F.col("gb")[0] - F.col("ga")[0], digits).alias("constant"))
-    minus = near.withColumn("sb", F.transform("sa", lambda x: -x + 0.0)).join(target, ["b", "sb"]).select("a", "b", "pa", "pb", F.lit("target = constant - source").alias("relation"), F.round(F.col("gb")[0] + F.col("ga")[0], digits).alias("constant"))
-    return plus.union(minus)
+    next_ = b.select(*layout, key, "vals").withColumns({"b": F.lead(key).over(order), "vb": F.lead("vals").over(order)}).where("b is not null")
+    va, vb = F.col("vals"), F.col("vb")
+    whole = F.when((F.size(va) == F.size(vb)) & (F.size(va) >= 3), close(vb, times(va, scale(va, vb)), rel) & ~(close(vb, times(va, F.lit(1.0), mean(vb) - mean(va)), rel) & (F.abs(mean(vb) - mean(va)) > 1e-9)))
+    next_ = next_.select(F.col(key).alias("a"), "b", F.coalesce(whole, F.lit(False)).alias("whole"))
+    w = reduce(DataFrame.union, [grams(b, key, n).withColumn("length", F.lit(n)) for n in range(length, longest + 1)]).where(differs(F.col("gram")))
+    g = F.col("gram")
+    centred, inverse = F.transform(g, lambda x: x - mean(g)), F.transform(g, lambda x: 1 / F.when(F.abs(x) > 1e-9, x))
+    known = ~F.exists(g, lambda x: F.abs(x) <= 1e-9)
+    found = []
+    for s, t in ((centred, centred), (F.when(known, inverse), F.when(known, g))):
+        x = w.withColumn("p", projections(s)).where("p is not null and p[0] is not null").select(F.col(key).alias("a"), F.col("pos").alias("pa"), "length", F.col("gram").alias("s"), F.explode(source_keys(F.col("p"))).alias("at"))
+        y = w.withColumns({"p": projections(t), "gap": gap(g, t, rel)}).where("p is not null and p[0] is not null").select(F.col(key).alias("b"), F.col("pos").alias("pb"), "length", F.col("gram").alias("t"), F.explode(target_keys(F.col("p"), F.col("gap"))).alias("at"))
+        found.append(next_.join(x, "a").join(y, ["b", "length", "at"]).select("a", "b", "pa", "pb", "length", "s", "t", "whole"))
+    s, t = F.col("s"), F.col("t")
+    d = found[0].union(found[1]).distinct()
+    d = d.withColumns({"sum": mean(s) + mean(t), "plus": mean(t) - mean(s), "ratio": scale(s, t), "products": F.zip_with(s, t, lambda x, y: x * y), "inverses": F.transform(s, lambda x: 1 / F.when(F.abs(x) > 1e-9, x))})
+    spread = total(F.transform(s, lambda x: (x - mean(s)) * (x - mean(s))))
+    d = d.withColumns({"slope": total(F.zip_with(s, t, lambda x, y: (x - mean(s)) * (y - mean(t)))) / F.when(spread > 1e-9, spread), "product": mean(F.col("products")), "over": scale(F.col("inverses"), t), "filled": ~F.exists(s, lambda x: F.abs(x) <= 1e-9)})
+    d = d.withColumn("offset", mean(t) - F.col("slope") * mean(s))
+    is_ = lambda name, constant, offset=None: F.struct(F.lit(name).alias("relation"), constant.cast("double").alias("constant"), F.lit(offset).cast("double").alias("offset"))
+    c = F.col
+    scaled = c("ratio").isNotNull() & (F.abs(c("ratio") - 1) > rel)
+    affine = (F.abs(c("slope")) > 1e-9) & (F.abs(c("slope") - 1) > rel) & (F.abs(c("offset")) > 1e-9) & close(t, times(s, c("slope"), c("offset")), rel)
+    first = (
+        F.when(close(t, times(s, F.lit(1.0), c("plus")), rel) & (F.abs(c("plus")) > 1e-9), is_("target = source + constant", F.round(c("plus"), digits)))
+        .when(scaled & close(t, times(s, c("ratio")), rel), F.when(~c("whole"), is_("target = source * constant", F.round(c("ratio"), 12))))
+        .when(scaled & affine, F.when(F.abs(c("slope") + 1) > rel, is_("target = source * constant + offset", F.round(c("slope"), 12), F.round(c("offset"), digits))))
+        .when(scaled & c("filled") & differs(c("inverses")) & close(t, times(c("inverses"), c("over")), rel), is_("target = constant / source", F.round(c("over"), 12)))
+    )
+    of = lambda vals, x: F.transform(vals, lambda _: x)
+    sums = F.zip_with(s, t, lambda x, y: x + y)
+    minus = F.when(close(sums, of(sums, c("sum")), rel) & (F.abs(c("sum")) > 1e-9), is_("target = constant - source", F.round(c("sum"), digits)))
+    filled = c("filled") & ~F.exists(t, lambda x: F.abs(x) <= 1e-9) & (F.abs(c("product")) > 1e-9)
+    by = F.when(filled & close(c("products"), of(c("products"), c("product")), rel), is_("target = constant / source", F.round(c("product"), 12)))
+    by = F.when(~F.coalesce(c("first.relation") == "target = constant / source", F.lit(False)), by)
+    rows = d.withColumn("first", first).withColumn("r", F.explode(F.array_compact(F.array(minus, c("first"), by))))
+    return rows.select("a", "b", "pa", "pb", "r.relation", "r.constant", "length", "r.offset")
