@@ -129,6 +129,19 @@ def test_pii_learns_contexts(spark):
     assert got["99"] == "phone:12:24"
 
 
+def test_pii_learns_from_what_it_found(spark):
+    dial = [f"please dial +1 743 555 {3000 + i}" for i in range(60)] + [f"please dial 743 555 {4000 + i}" for i in range(20)]
+    ring = [f"you may ring 743 555 {4000 + i}" for i in range(20)] + ["you may ring 743 555 9999 now"]
+    mail = [f"mailto a{i}@b.co" for i in range(30)] + ["mailto root@localhost now", "mailto c [at] d [dot] org now"]
+    addr = [f"host 10.0.0.{i}" for i in range(30)] + ["host 2001:db8::1 now", "host 10[.]0[.]0[.]99 now"]
+    docs = spark.createDataFrame(list(enumerate([*dial, *ring, *mail, *addr])), "doc_id long, text string")
+    texts, got = dict(docs.collect()), {int(r[0].split(":")[0]): r[1] for r in pii.find(docs).select("__key", pii.joined(F.col("spans"))).collect()}
+    want = {"743 555 9999": "phone", "root@localhost": "email", "c [at] d [dot] org": "email", "2001:db8::1": "ip", "10[.]0[.]0[.]99": "ip"}
+    for m, kind in want.items():
+        i, at = next((i, x.index(m)) for i, x in texts.items() if m in x)
+        assert got[i] == f"{kind}:{at}:{at + len(m)}"
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 8)).round(1)

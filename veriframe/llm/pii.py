@@ -2,8 +2,10 @@
 
 Base matches (email, ip, card, phone) seed the extraction. The word before a match is a lexical pattern of its kind;
 patterns and the instances they precede form a graph that is scored in rounds: a pattern by the share of trusted
-instances among all it precedes, an instance by its best pattern. Unlabelled digit groups after a pattern of high
-confidence become spans of that pattern's kind. Counts cover the whole corpus and are summed before they are
+instances among all it precedes, an instance by its best pattern. A pattern takes part once the trust of its distinct
+instances adds up to SUPPORT in a round, so instances found in one round can make patterns of the next. Candidates are
+unlabelled digit groups (card, phone), addresses without a dot or with "at" and "dot" written out (email), and IPv6 or
+bracketed addresses (ip); after a pattern of high confidence they become spans of that pattern's kind. Counts cover the whole corpus and are summed before they are
 shuffled. Null texts count as empty; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -23,6 +25,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = r"(?<![0-9])[0-9](?:[\x20().-]?[0-9])++"
+DOT = r"(?:\.|\x20?[\[({](?:dot|\.)[\])}]\x20?)"
+LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:@|\x20?[\[({](?:at|@)[\])}]\x20?)[A-Za-z0-9-]++(?:" + DOT + r"[A-Za-z0-9-]++)*+|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)"
+LOOSE_IP = r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:" + DOT + r"[0-9]{1,3}+){3}|(?:[0-9A-Fa-f]{1,4}+)?+(?:::?[0-9A-Fa-f]{1,4}+){2,7}+)(?![0-9A-Za-z:])"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 3
 
 
@@ -76,7 +81,10 @@ def base(docs: DataFrame) -> DataFrame:
     lists = [typed(checked(k), i) for i, k in enumerate(KINDS)]
     df = docs.withColumn("base", F.array_sort(F.concat(*lists)))
     loose = F.filter(matches(text, LOOSE), lambda s: F.length(digits(s["m"])).between(9, 19))
-    return df.withColumn("loose", typed(loose, len(KINDS)))
+    # the patterns need one of these signs; texts without them are not searched
+    spelt = F.when(text.rlike(r"@|[\[({]at[\])}]|\x20dot\x20"), matches(text, LOOSE_EMAIL)).otherwise(F.array().cast("array<struct<start: int, end: int, m: string, ctx: string>>"))
+    others = F.when(text.rlike(r"[\[({](?:dot|\.)[\])}]|:[0-9A-Fa-f]{1,4}+:"), matches(text, LOOSE_IP)).otherwise(F.array().cast("array<struct<start: int, end: int, m: string, ctx: string>>"))
+    return df.withColumn("loose", F.concat(typed(loose, len(KINDS)), typed(spelt, 0), typed(others, 1)))
 
 
 def clear(loose: Column, spans: Column) -> Column:
@@ -84,23 +92,23 @@ def clear(loose: Column, spans: Column) -> Column:
     return F.filter(loose, lambda c: ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
 
 
-def shape_kind(m: Column) -> Column:
-    """Kinds that a loose digit group may be of: card from 12 digits on, phone up to 15."""
-    n = F.length(digits(m))
-    return F.array_compact(F.array(F.when(n >= 12, F.lit(2)), F.when(n <= 15, F.lit(3))))
+def shape_kind(s: Column) -> Column:
+    """Kinds that a candidate may be of: its own, or for a digit group card from 12 digits on and phone up to 15."""
+    n = F.length(digits(s["m"]))
+    return F.when(s["kind"] < len(KINDS), F.array(s["kind"])).otherwise(F.array_compact(F.array(F.when(n >= 12, F.lit(2)), F.when(n <= 15, F.lit(3)))))
 
 
 def confident(rows: DataFrame) -> DataFrame:
     """(word, kind) of patterns with high confidence, by rounds on the pattern-instance graph."""
     seeds = rows.select(F.explode("base").alias("s")).select("s.word", "s.kind", "s.m").withColumn("seed", F.lit(1.0))
-    others = rows.select(F.explode("loose").alias("s")).select("s.word", F.explode(shape_kind(F.col("s.m"))).alias("kind"), "s.m").withColumn("seed", F.lit(0.0))
+    others = rows.select(F.explode("loose").alias("s")).select("s.word", F.explode(shape_kind(F.col("s"))).alias("kind"), "s.m").withColumn("seed", F.lit(0.0))
     edges = cut(seeds.union(others).where("word <> ''").groupBy("word", "kind", "m").agg(F.max("seed").alias("seed")))
     trust = edges.groupBy("kind", "m").agg(F.max("seed").alias("trust"))
     for _ in range(ROUNDS):
-        scored = edges.join(trust, ["kind", "m"]).groupBy("word", "kind").agg((F.sum("trust") / (F.count("*") + 1)).alias("score"), F.sum("seed").alias("seeds"))
-        best = edges.join(scored.where(F.col("seeds") >= SUPPORT), ["word", "kind"], "left")
+        scored = edges.join(trust, ["kind", "m"]).groupBy("word", "kind").agg((F.sum("trust") / (F.count("*") + 1)).alias("score"), F.sum("trust").alias("support"))
+        best = edges.join(scored.where(F.col("support") >= SUPPORT), ["word", "kind"], "left")
         trust = cut(best.groupBy("kind", "m").agg(F.greatest(F.max("seed"), F.coalesce(F.max("score"), F.lit(0.0))).alias("trust")))
-    return scored.where((F.col("score") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("word", "kind")
+    return scored.where((F.col("score") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("word", "kind")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def find(docs: DataFrame) -> DataFrame:
     found = base(docs.withColumn("__key", F.concat(row_key("doc_id"), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))))
     rows = cut(found.withColumn("loose", clear(F.col("loose"), F.col("base"))).select("__key", "base", "loose"))
     patterns = confident(rows)
-    new = rows.select("__key", F.explode("loose").alias("s")).select("__key", F.col("s.word").alias("word"), F.explode(shape_kind(F.col("s.m"))).alias("kind"), "s.start", "s.end")
+    new = rows.select("__key", F.explode("loose").alias("s")).select("__key", F.col("s.word").alias("word"), F.explode(shape_kind(F.col("s"))).alias("kind"), "s.start", "s.end")
     new = new.join(patterns, ["word", "kind"]).groupBy("__key", "start", "end").agg(F.min("kind").alias("kind"))
     new = new.groupBy("__key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
