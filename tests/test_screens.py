@@ -79,6 +79,18 @@ def test_relations(spark):
     assert sequences.shared_runs(vectors(spark, (5, 5, 5), (5, 5, 5)), "block").count() == 0
 
 
+def test_constant_pair_sums(spark):
+    rng, rows = random.Random(2), []
+    for block, n_rows, n_pairs, jitter in (("whole", 6, 3, 0.0), ("jitter", 6, 3, 4e-10), ("few rows", 3, 5, 0.0), ("one pair", 15, 1, 0.0), ("mixed", 6, 3, 5.0)):
+        for r in range(n_rows):
+            for k in range(n_pairs):
+                x = rng.randint(1, 9)
+                rows += [(block, r, 2 * k, float(x)), (block, r, 2 * k + 1, 10.0000005 - x + rng.uniform(-jitter, jitter))]
+    got = {r["block"]: r for r in groups.constant_pair_sums(spark.createDataFrame(rows, "block string, r int, c int, value double"), ["block"], "r", ["c"]).collect()}
+    assert {k: r["candidate"] for k, r in got.items()} == {"whole": True, "jitter": True, "few rows": False, "mixed": False}
+    assert (got["jitter"]["matching"], got["jitter"]["rows"], got["jitter"]["row_matches"]) == (18, 6, 6)
+
+
 @pytest.mark.parametrize("target,want", [((7.5, 2.5, 22.5, 10, 5, 13), ("target = source * constant", 2.5, None)), ((8.5, 3.5, 23.5, 11, 6, 14), ("target = source * constant + offset", 2.5, 1.0)), ((4, 12, 4 / 3, 3, 6, 2.3), ("target = constant / source", 12.0, None)), ((1000003.4, 1000001.2, 1000009.1, 1000003.9, 1000002.2, 1), ("target = source + constant", None, None))])
 def test_window_families(spark, target, want):
     source = (3, 1, 9, 4, 2, 50)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,7 @@ def progressions(df: DataFrame, by: list[str], order: list[str], value: str = "v
 
 
 def pair_sums(df: DataFrame, block: list[str], row: str, order: list[str], value: str = "value", digits: int = 6) -> DataFrame:
-    """Alternate pairs (1,2), (3,4)... of each row and the share of the commonest pair sum in its block."""
+    """Alternate pairs (1,2), (3,4)... of each row and the share of the commonest rounded sum; constant_pair_sums has the whole rule."""
     w = Window.partitionBy(*block, row).orderBy(*order)
     p = df.where(F.col(value).isNotNull()).withColumn("k", F.floor((F.row_number().over(w) - 1) / 2))
     pairs = p.groupBy(*block, row, "k").agg(F.count("*").alias("c"), F.round(F.sum(value), digits).alias("s")).where("c = 2")
@@ -44,6 +44,35 @@ def pair_sums(df: DataFrame, block: list[str], row: str, order: list[str], value
         ((F.col("pairs") >= 12) & (F.col("top.m") >= F.greatest(F.lit(10), F.ceil(F.col("pairs") * 0.8)))).alias("candidate"))
 
 
+def modal_cluster(ordered: Column, tolerance: float) -> Column:
+    """struct<mean, n> of the largest cluster of sorted values, the first of equals; a value within tolerance of the running mean joins."""
+    state = lambda total, n, best, best_n: F.struct(total.alias("total"), n.alias("n"), best.alias("best"), best_n.alias("best_n"))
+    larger = lambda a: F.coalesce(a["n"] > a["best_n"], F.lit(False))
+    best = lambda a: F.when(larger(a), a["total"] / a["n"]).otherwise(a["best"])
+
+    def step(a: Column, x: Column) -> Column:
+        near = (a["n"] > 0) & (F.abs(x - a["total"] / F.greatest(a["n"], F.lit(1))) <= tolerance)
+        return F.when(near, state(a["total"] + x, a["n"] + 1, a["best"], a["best_n"])).otherwise(state(x, F.lit(1), best(a), F.greatest(a["n"], a["best_n"])))
+
+    start = state(F.lit(0.0), F.lit(0), F.lit(None).cast("double"), F.lit(0))
+    return F.aggregate(ordered, start, step, lambda a: F.struct(best(a).alias("mean"), F.greatest(a["n"], a["best_n"]).alias("n")))
+
+
+def constant_pair_sums(df: DataFrame, block: list[str], row: str, order: list[str], value: str = "value", tolerance: float = 1e-9) -> DataFrame:
+    """The surveyed screen (A12, A13): modal cluster of the pair sums of rows with two pairs at least, with row totals."""
+    w = Window.partitionBy(*block, row).orderBy(*order)
+    v = F.col(value).cast("double")
+    p = df.where(v.isNotNull() & ~F.isnan(v)).withColumn("k", F.floor((F.row_number().over(w) - 1) / 2))
+    pairs = p.groupBy(*block, row, "k").agg(F.count("*").alias("c"), F.sum(v).alias("s")).where("c = 2")
+    rows = pairs.groupBy(*block, row).agg(F.count("*").alias("n"), F.sum("s").alias("total"), F.collect_list("s").alias("sums")).where("n >= 2")
+    a = rows.groupBy(*block).agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"), F.array_sort(F.flatten(F.collect_list("sums"))).alias("sums"), F.collect_list(F.struct("n", "total")).alias("totals"))
+    a = a.withColumn("mode", modal_cluster(F.col("sums"), tolerance))
+    matches = F.size(F.filter("totals", lambda r: F.abs(r["total"] - F.col("mode.mean") * r["n"]) <= tolerance * r["n"]))
+    share = lambda least, of: F.greatest(F.lit(least), F.ceil(F.col(of) * 0.8))
+    a = a.select(*block, "pairs", "rows", F.col("mode.n").alias("matching"), F.col("mode.mean").alias("target"), matches.alias("row_matches"))
+    return a.withColumn("candidate", (F.col("pairs") >= 12) & (F.col("rows") >= 4) & (F.col("matching") >= share(10, "pairs")) & (F.col("row_matches") >= share(4, "rows")))
+
+
 def beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

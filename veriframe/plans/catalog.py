@@ -58,6 +58,7 @@ QUERIES = {
     "distribution_audit": lambda s, d: groups.distribution(event_values(s, d), ["event_type"]),
     "progressions": lambda s, d: groups.progressions(load(s, d, "part").select(F.floor(F.col("p_partkey") / 6).alias("block"), "p_partkey", F.col("p_retailprice").alias("value")), ["block"], ["p_partkey"]),
     "pair_sums": lambda s, d: groups.pair_sums(load(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("value")), ["l_suppkey"], "l_orderkey", ["l_linenumber", "value"], digits=2),
+    "constant_pair_sums": lambda s, d: groups.constant_pair_sums(load(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("value")), ["l_suppkey"], "l_orderkey", ["l_linenumber", "value"]),
     "group_tests": lambda s, d: groups.tests(event_values(s, d), "event_type", "value", ("click", "view")).select("test", F.round("statistic", 4).alias("statistic"), F.round("df1", 3).alias("df1"), F.round("df2", 3).alias("df2")),
     "duplicate_sequences": lambda s, d: sequences.duplicate_sequences(orders_by_customer(s, d), "o_custkey", 3).select("n", "members", "first_block"),
     "shared_runs": lambda s, d: sequences.shared_runs(sizes_by_brand(s, d), "block"),
