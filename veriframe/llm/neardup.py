@@ -134,6 +134,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     side = lambda k: classes.select(F.col("id").alias(k), F.col("regs").alias("r" + k), F.col("n").alias("n" + k))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = cut(sized.where(estimate("ra", "rb", "na", "nb") >= floor).select("a", "b"))
+    release(pairs.sparkSession)
     of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias("t" + k))
     return cut(near.join(of("b"), "b").join(of("a"), "a").where(alike("ta", "tb")).select("a", "b"))
 
@@ -149,6 +150,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = cut(near.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("now"), "comp"))
         changed = new.where("now <> comp").limit(1).count()
         comp = new.select("id", F.col("now").alias("comp"))
+        del told, near, jump
+        release(edges.sparkSession)
         if not changed:
             return comp
 
@@ -187,6 +190,7 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     release(docs.sparkSession)
     marks = members.select("id").distinct().join(classes, "id").select("id", F.col("low.mark").alias("mark"))
     texts = cut(docs.select(F.md5("text").alias("mark"), "text").groupBy("mark").agg(F.first("text").alias("text")).join(marks, "mark").select("id", "text"))
+    release(docs.sparkSession)
     central = members.groupBy("id").agg(F.sum("k").alias("weight"))
     hubs = members.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("a"))
     star = members.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
