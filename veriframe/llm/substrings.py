@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, release, rolling, table, word_hashes
+from .common import cut, discard, mix, release, rolling, store, table, word_hashes
 
 WINDOW, BLOCK = 20, 6
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 LAST = 2**63 - 1
 SLICE = 200_000  # blocks in an output batch
-PROFILE = "k long, mark long, doc_id long, n_words long, digest binary, whole binary, blocks array<long>"
-ANCHOR = "k long, mark long, block long, context long, lo int, windows array<long>"
+PROFILE = "k long, mark long, doc_id long, n_words long, whole binary, blocks array<long>"
+ANCHOR = "k long, mark long, block long, context long, lo int, n int, windows array<long>"
 FACTOR = "array<struct<start: int, length: int, ref_id: long, ref_start: int>>"
 
 
@@ -81,25 +81,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """PROFILE of every row: number and digest of the words, their sha256, hashes of the reference blocks; no shuffle."""
+    """PROFILE of every row: number of the words, their sha256, hashes of the reference blocks; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            n, digest, whole, blocks = [], [], [], []
+            n, whole, blocks = [], [], []
             for t in x.column("text"):
                 w = words_of(t.as_py())
-                sha = hashlib.sha256(b" ".join(w)).digest()
                 n.append(len(w))
-                digest.append(sha[:16])
-                whole.append(sha)
+                whole.append(hashlib.sha256(b" ".join(w)).digest())
                 blocks.append(reference_blocks(word_hashes(w))[2] if len(w) >= WINDOW else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([x.column("k"), x.column("mark"), x.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(whole, pa.binary()), lists(blocks)], names=["k", "mark", "doc_id", "n_words", "digest", "whole", "blocks"])
+            yield pa.RecordBatch.from_arrays([x.column("k"), x.column("mark"), x.column("doc_id"), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), lists(blocks)], names=["k", "mark", "doc_id", "n_words", "whole", "blocks"])
 
     return docs.mapInArrow(run, PROFILE)
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """ANCHOR of each repeated block of texts (k, mark, text, repeated): its context and the windows that chose it."""
+    """ANCHOR of each repeated block of texts (k, mark, text, repeated): its context and the windows that chose it.
+
+    Of equal contexts met together, only the earliest carries its windows, others none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -123,7 +124,13 @@ def anchors(texts: DataFrame) -> DataFrame:
 
     def batch(out: list) -> pa.RecordBatch:
         *cols, windows = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), lists([w for x in windows for w in x])], names=["k", "mark", "block", "context", "lo", "windows"])
+        cols, windows = [np.concatenate(c) for c in cols], [w for x in windows for w in x]
+        n = np.array([len(w) for w in windows], np.int32)
+        order = np.lexsort([cols[4], cols[1], cols[0], cols[3], cols[2]])
+        again = (cols[2][order[1:]] == cols[2][order[:-1]]) & (cols[3][order[1:]] == cols[3][order[:-1]])
+        for i in order[1:][again].tolist():
+            windows[i] = windows[i][:0]
+        return pa.RecordBatch.from_arrays([*map(pa.array, [*cols, n]), lists(windows)], names=["k", "mark", "block", "context", "lo", "n", "windows"])
 
     return texts.mapInArrow(run, ANCHOR)
 
@@ -163,25 +170,25 @@ def cut_out(texts: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors for every row."""
     spark, docs = docs.sparkSession, keyed(docs)
-    all_ = cut(profile(docs))
+    all_, all_at = store(profile(docs))
     place, empty = F.struct("k", "mark"), hashlib.sha256(b"").hexdigest()
-    firsts = all_.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(place).alias("first"))
-    info = cut(all_.select("k", "mark", "doc_id", "n_words", "digest", F.lower(F.hex("whole")).alias("whole")).join(firsts, "digest", "left").drop("digest"))
-    reps = cut(all_.where(F.size("blocks") > 0).groupBy("digest").agg(F.min(F.struct("k", "mark", "blocks")).alias("f")).select("f.*"))
-    del all_, firsts
-    release(spark)
-    block = reps.select("k", "mark", F.explode("blocks").alias("block"))
+    firsts = all_.where(F.col("n_words") >= WINDOW).groupBy("whole").agg(F.min(place).alias("first"))
+    info = cut(all_.select("k", "mark", "doc_id", "n_words", "whole").join(firsts, "whole", "left"))
+    alone = firsts.select("first.*").join(all_.select("k", "mark", "blocks"), ["k", "mark"]).dropDuplicates(["k", "mark"])
+    block = alone.select("k", "mark", F.explode("blocks").alias("block"))
     often = block.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
     near = cut(block.join(often, "block").groupBy("k", "mark").agg(F.collect_set("block").alias("repeated")))
-    del reps, block, often
+    discard(spark, all_at)
     release(spark)
     once = docs.groupBy("k", "mark").agg(F.first("text").alias("text"))  # equal rows are one document
-    found = cut(anchors(once.join(near, ["k", "mark"]).select("k", "mark", "text", "repeated")))
+    found, found_at = store(anchors(once.join(near, ["k", "mark"]).select("k", "mark", "text", "repeated")))
+    del all_, firsts, alone, block, often, near
     release(spark)
     here = F.struct("k", "mark", "lo")
-    earliest = cut(found.groupBy("block", "context").agg(F.min(here).alias("e"), F.count("*").alias("c"), F.first("windows").alias("windows")))
+    windows = F.first(F.when(F.size("windows") > 0, F.col("windows")), ignorenulls=True)
+    earliest, earliest_at = store(found.groupBy("block", "context").agg(F.min(here).alias("e"), F.count("*").alias("c"), windows.alias("windows")))
     whole = found.join(earliest.where("c > 1").select("block", "context", "e"), ["block", "context"]).where(here > F.col("e"))
-    whole = whole.select("k", "mark", "lo", F.size("windows").alias("n"), "e")
+    whole = whole.select("k", "mark", "lo", "n", "e")
     # factor boundaries: blocks with several contexts, window by window
     several = earliest.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
     single = earliest.join(several, "block", "left_semi").select("block", "e.k", "e.mark", F.col("e.lo").alias("from"), F.posexplode("windows").alias("i", "w"))
@@ -189,18 +196,21 @@ def dedup(docs: DataFrame) -> DataFrame:
     lowest = single.groupBy("block", "w").agg(F.min(here).alias("e"), F.count("*").alias("c")).where("c > 1").select("block", "w", "e")
     edges = single.join(lowest, ["block", "w"]).where(here > F.col("e")).select("k", "mark", "lo", F.lit(1).alias("n"), "e")
     part = F.struct("lo", "n", F.col("e.k").alias("rk"), F.col("e.mark").alias("rm"), F.col("e.lo").alias("rlo"))
-    parts = cut(whole.union(edges).groupBy("k", "mark").agg(F.collect_list(part).alias("parts")))
+    parts, parts_at = store(whole.union(edges).groupBy("k", "mark").agg(F.collect_list(part).alias("parts")))
+    discard(spark, found_at, earliest_at)
     del found, earliest, whole, single, lowest, edges, several
     release(spark)
     gone = cut_out(once.join(parts, ["k", "mark"]).select("k", "mark", "text", "parts"))
     copy = F.coalesce(F.col("first") < place, F.lit(False))
     entire = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.nullif("first.k", F.lit(LAST)).alias("ref_id"), F.lit(0).alias("ref_start")))
-    return info.join(gone, ["k", "mark"], "left").select(
+    out = cut(info.join(gone, ["k", "mark"], "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
+        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", F.lower(F.hex("whole")))).alias("kept_sha256"),
         F.when(copy, entire).otherwise(F.coalesce("factors", F.array())).cast(FACTOR).alias("factors"),
-    )
+    ))
+    discard(spark, parts_at)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
