@@ -113,8 +113,7 @@ def test_decontamination_of_short_texts(spark):
 def test_pii(spark):
     text = "ümail a@b.co and c.d@e.f_g@h.ij ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (743) 555-3824."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "9" * 20000), (1, text)], "doc_id long, text string")
-    got = {r[0]: r[1] for r in pii.find(docs).select("__key", pii.joined(F.col("spans"))).collect()}
-    by = {k.split(":")[0]: v for k, v in got.items()}
+    by = {str(r[0]): r[1] for r in pii.find(docs).select("__id", pii.joined(F.col("spans"))).collect()}
     at = lambda s: f"{text.index(s)}:{text.index(s) + len(s)}"
     assert by["2"] == by["3"] == by["4"] == ""
     assert by["1"].split(",") == [f"email:{at('a@b.co')}", f"email:{at('c.d@e.f')}", f"email:{at('_g@h.ij')}", f"ip:{at('1.2.3.4')}", f"card:{at('4111 1111 1111 1111')}", f"phone:{at('+1 (743) 555-3824')}"]
@@ -125,7 +124,7 @@ def test_pii(spark):
 def test_pii_learns_contexts(spark):
     seeds = [(i, f"please dial +1 743 555 {3000 + i}") for i in range(30)]
     docs = spark.createDataFrame([*seeds, (99, "please dial 743 555 9999 now"), (98, "about 743 555 9999 things")], "doc_id long, text string")
-    got = {r[0].split(":")[0]: r[1] for r in pii.find(docs).select("__key", pii.joined(F.col("spans"))).collect()}
+    got = {str(r[0]): r[1] for r in pii.find(docs).select("__id", pii.joined(F.col("spans"))).collect()}
     assert got["99"] == "phone:12:24"
 
 
@@ -135,13 +134,24 @@ def test_pii_learns_from_what_it_found(spark):
     mail = [f"mailto a{i}@b.co" for i in range(30)] + ["mailto root@localhost now", "mailto c [at] d [dot] org now"]
     addr = [f"host 10.0.0.{i}" for i in range(30)] + ["host 2001:db8::1 now", "host 10[.]0[.]0[.]99 now"]
     docs = spark.createDataFrame(list(enumerate([*dial, *ring, *mail, *addr])), "doc_id long, text string")
-    texts, got = dict(docs.collect()), {int(r[0].split(":")[0]): r[1] for r in pii.find(docs).select("__key", pii.joined(F.col("spans"))).collect()}
+    texts, got = dict(docs.collect()), {r[0]: r[1] for r in pii.find(docs).select("__id", pii.joined(F.col("spans"))).collect()}
     want = {"743 555 9999": "phone", "root@localhost": "email", "c [at] d [dot] org": "email", "2001:db8::1": "ip", "10[.]0[.]0[.]99": "ip"}
     for m, kind in want.items():
         i, at = next((i, x.index(m)) for i, x in texts.items() if m in x)
         assert got[i] == f"{kind}:{at}:{at + len(m)}"
 
 
+def test_pii_contexts_of_several_words_and_after(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    seeds = [f"{word()} {word()} +1 743 555 {3000 + i} extension" for i in range(30)] + [f"{word()} reach me {word() and ''}+1 743 556 {3000 + i} {word()}" for i in range(30)]
+    seeds += [f"{word()} gave me +1 743 557 {3000 + i}{' ' * 60}" for i in range(2)] + [f"{word()} gave me 20211100{i:04d} {word()}" for i in range(60)]
+    docs = [*seeds, "so 743 555 9999 extension", "do reach me 743 556 9999 now", "they gave me 743 557 9999 now", "dial" + " . " * 30 + "743 555 9998 extension"]
+    got = {r[0]: r[1] for r in pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).select("__id", pii.joined(F.col("spans"))).collect()}
+    n = len(docs)
+    assert got[n - 4] == "phone:3:15" and got[n - 3] == "phone:12:24" and got[n - 2] == "" and got[n - 1] == "phone:94:106"
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 8)).round(1)

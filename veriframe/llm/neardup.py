@@ -163,7 +163,7 @@ def by_rarest(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     that both hold leaves at least the overlap needed from its place on, in either set.
     """
     held = open_.join(texts, "id").select("id", "comp", "n", F.explode(shingles("text")).alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    often = cut(held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))  # both sides exchanged: hot shingles can be split
     common = held.join(often, "s").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("common"))
     # those that no other class holds come first and meet nothing
     placed = common.select("id", "comp", "n", F.posexplode("common").alias("k", "x"), (F.col("n") - F.size("common")).alias("alone"))
@@ -185,7 +185,7 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = rows.where("digest is not null").groupBy("digest").agg(lowest, F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = cut(sets.withColumn("id", F.monotonically_increasing_id()))
     banded = classes.select("id", F.explode(band_keys(bands(percent))("regs")).alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))  # both sides exchanged: hot keys can be split
     members = cut(banded.join(shared, "key").select("key", "id", "k"))
     release(docs.sparkSession)
     marks = members.select("id").distinct().join(classes, "id").select("id", F.col("low.mark").alias("mark"))

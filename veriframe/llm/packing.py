@@ -127,9 +127,13 @@ def places(patterns: list[tuple[int, list[int]]], first: int) -> dict[int, np.nd
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece, start, length and ids_crc32."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, group_rows: int = 100_000) -> DataFrame:
+    """Adds sequence_id and offset to rows with doc_id, piece, start, length and ids_crc32.
+
+    Rows of one length are ranked in buckets of group_rows or so.
+    """
     spark, names = parts.sparkSession, parts.columns
+    buckets = max(64, -(-parts.count() // group_rows))
     keyed = parts.withColumns({"__h": F.xxhash64(*names), "__b": F.pmod(F.xxhash64(F.lit(3), *names), F.lit(buckets)).cast("int")})
     sizes = keyed.groupBy("length", "__b").count()
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,4 +164,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; null and empty texts hold the end id alone, an empty table packs to nothing."""
     return pack(cut(pieces(docs)))
