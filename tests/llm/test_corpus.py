@@ -110,6 +110,57 @@ def test_decontamination_of_short_texts(spark):
     assert got == {1: 56, 3: 60}
 
 
+def planted_windows():
+    """Texts that hold an item with so many words replaced that the similarity lies between 0.78 and 1."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items = [[word() for _ in range(rng.choice([30, 60, 61, 150]))] for _ in range(80)]
+    docs = []
+    for it in items:
+        for k in range(6):
+            x = list(it)
+            for _ in range(rng.randrange(len(it) // 25 + 2)):
+                x[rng.randrange(len(x))] = word()
+            docs.append(" ".join([word() for _ in range(rng.randrange(40))] + x + [word() for _ in range(rng.randrange(40))]))
+    return docs, [" ".join(x) for x in items]
+
+
+def brute_similarity(text, item):
+    a = decontam.Counter(sets_list(item))
+    b, size = sets_list(text), sum(a.values())
+    size = min(size, len(b))
+    both = max(sum((decontam.Counter(b[i : i + size]) & a).values()) for i in range(len(b) - size + 1))
+    return both / (sum(a.values()) + size - both)
+
+
+def sets_list(t):
+    w = t.split()
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_decontamination_recall_near_the_threshold():
+    docs, items = planted_windows()
+    rows = list(enumerate(items))
+    index, exact = decontam.Items(rows), decontam.Items(rows, None)
+    found = [{(d, h[0]): h[1] for d, t in enumerate(docs) for h in x.search(t, 0.8)} for x in (index, exact)]
+    want = {(d, d // 6): s for d, t in enumerate(docs) if (s := brute_similarity(t, items[d // 6])) >= 0.8}
+    assert found[1] == pytest.approx(want)
+    low = {k for k, s in want.items() if s < 0.87}
+    assert len(low) > 30 and len(low & found[0].keys()) >= 0.97 * len(low) and found[0].items() <= found[1].items() and len(found[0]) >= 0.99 * len(want)
+
+
+def test_hamming_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**16, (3000, 8)).astype(np.uint16)
+    index = decontam.HammingIndex(x, 31)
+    for i in range(40):
+        one = x[i].copy()
+        for b in rng.choice(128, rng.integers(0, 36), replace=False):
+            one[b // 16] ^= np.uint16(1 << int(b % 16))
+        want = np.flatnonzero(np.bitwise_count(x ^ one).sum(axis=1) <= 31)
+        assert index.near(one).tolist() == want.tolist()
+
+
 def test_pii(spark):
     text = "ümail a@b.co and c.d@e.f_g@h.ij ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111 or 4111111111111112 tel +1 (743) 555-3824."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "9" * 20000), (1, text)], "doc_id long, text string")
