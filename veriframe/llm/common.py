@@ -23,14 +23,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+# Rows and bytes of a batch sent to Python, so that long texts and wide sketches fit beside each other.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches for Python workers where the session still has Spark's own setting."""
+    for key, (usual, ours) in BATCHES.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint()
 
 
 def store(df: DataFrame) -> tuple[DataFrame, str]:
     """Cut lineage with a compressed table in the shared folder; its path is for discard()."""
+    small_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -57,6 +70,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

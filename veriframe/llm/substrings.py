@@ -103,8 +103,8 @@ def anchors(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for x in batches:
-            out, size = [], 0
             for k, m, t, rep in zip(*(x.column(c) for c in ("k", "mark", "text", "repeated")), strict=True):
                 h = word_hashes(words_of(t.as_py()))
                 first, at, block = reference_blocks(h)
@@ -119,8 +119,8 @@ def anchors(texts: DataFrame) -> DataFrame:
                 if size >= SLICE:
                     yield batch(out)
                     out, size = [], 0
-            if out:
-                yield batch(out)
+        if out:
+            yield batch(out)
 
     def batch(out: list) -> pa.RecordBatch:
         *cols, windows = zip(*out, strict=True)
