@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..operators import digits, findings, groups, hashes, sequences
 from ..sources.workbooks import melt
+from . import sheets
 
 NUMERIC = ["l_extendedprice", "l_discount", "l_tax", "l_quantity"]
 
@@ -138,3 +139,5 @@ ORACLES = {
     "risk_rollup": f"SELECT places, count(*) AS total, count(*) FILTER (contains(risk, 'HIGH')) AS high, count(*) FILTER (NOT contains(risk, 'HIGH')) AS warn FROM ({repeats_sql(1)}) GROUP BY 1",
     "top_findings": f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY places ORDER BY count DESC, value) AS INTEGER) AS rank FROM ({repeats_sql(1)})) WHERE rank <= 10",
 }
+QUERIES |= sheets.QUERIES
+ORACLES |= sheets.ORACLES
