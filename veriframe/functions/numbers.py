@@ -11,12 +11,12 @@ NUMERIC = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def cleaned(raw: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(raw), ",", ""), "%+$", "")
+    return F.rtrim(F.replace(F.trim(raw), F.lit(","), F.lit("")), F.lit("%"))
 
 
 def is_number(raw: Column) -> Column:
-    """Guarded by a pattern, as a bare cast would accept '1d'."""
-    return F.coalesce(~F.lower(F.trim(raw)).isin(*NULL_TOKENS) & cleaned(raw).rlike(NUMERIC), F.lit(False))
+    """Guarded by a pattern, as a bare cast would accept '1d'; the tokens of missing numbers do not fit it."""
+    return F.coalesce(cleaned(raw).rlike(NUMERIC), F.lit(False))
 
 
 def to_number(raw: Column) -> Column:
@@ -26,17 +26,21 @@ def to_number(raw: Column) -> Column:
 def decimal_places(raw: Column) -> Column:
     """Digits after the point; an exponent shifts them, floor 0."""
     x = cleaned(raw)
+    dot = F.instr(x, ".")
+    plain = F.when(dot > 0, F.length(x) - dot).otherwise(0)
     frac = F.length(F.regexp_extract(x, r"\.([0-9]*)", 1))
     exp = F.coalesce(F.regexp_extract(x, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return F.when(x.rlike("[eE]"), F.greatest(F.lit(0), frac - exp)).otherwise(frac)
+    return F.when(F.contains(F.lower(x), F.lit("e")), F.greatest(F.lit(0), frac - exp)).otherwise(plain)
 
 
 def last_digit(raw: Column) -> Column:
-    return F.right(F.regexp_replace(raw, "[^0-9]", ""), F.lit(1))
+    end = F.right(raw, F.lit(1))  # most numbers end with a digit
+    return F.when(end.between("0", "9"), end).otherwise(F.right(F.regexp_replace(raw, "[^0-9]", ""), F.lit(1)))
 
 
 def first_digit(raw: Column) -> Column:
-    return F.regexp_extract(raw, "[1-9]", 0)
+    start = F.left(F.ltrim(raw, F.lit(" +-0.,")), F.lit(1))
+    return F.when(start.between("1", "9"), start).otherwise(F.regexp_extract(raw, "[1-9]", 0))
 
 
 def decimal_tail(raw: Column) -> Column:

@@ -18,7 +18,7 @@ def flags(*pairs: tuple[str, Column]) -> Column:
 def digit_summary(cells: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
     """Last- and first-digit distribution of the numeric texts of each group."""
     c = F.col(raw)
-    df = cells.where(N.is_number(c)).select(*by, N.last_digit(c).alias("ld"), N.first_digit(c).alias("fd"), F.abs(N.to_number(c)).alias("v"))
+    df = cells.where(N.is_number(c)).select(*by, N.last_digit(c).alias("ld"), N.first_digit(c).alias("fd"), F.abs(N.cleaned(c).cast("double")).alias("v"))
     nz = F.when(F.col("v") > 0, F.col("v"))
     agg = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(nz).alias("nonzero"), (F.max(nz) / F.min(nz)).alias("span"),
                               *[F.count_if(F.col("ld") == str(k)).alias(f"l{k}") for k in range(10)],
@@ -40,14 +40,13 @@ def digit_summary(cells: DataFrame, by: list[str], raw: str = "raw") -> DataFram
 def column_audit(melted: DataFrame, by: list[str], denominator: int | None = None, numeric_share: float = 0.8) -> DataFrame:
     """Decimal audit of columns given as (by..., raw); columns with too few numbers are left out."""
     c = F.col("raw")
-    filled = melted.where(~F.lower(F.trim(c)).isin("", "na", "nan", "none", "null"))
-    num = N.is_number(c)
-    v = N.to_number(c)
-    step = 100.0 / denominator if denominator else None
+    x = melted.select(*by, c.alias("raw"), N.is_number(c).alias("num")).where("num or not lower(trim(raw)) in ('', 'na', 'nan', 'none', 'null')")
+    x = x.select(*by, "num", F.when(F.col("num"), N.decimal_places(c)).alias("dp"), F.when(F.col("num"), N.last_digit(c)).alias("ld"), F.when(F.col("num"), N.cleaned(c).try_cast("double")).alias("v"))
+    v, step = F.col("v"), 100.0 / denominator if denominator else None
     off = (v.between(0, 100) & (F.abs(v - F.bround(v / step) * step) > 1e-6)) if step else F.lit(False)
-    df = filled.select(*by, num.alias("num"), F.when(num, N.decimal_places(c)).alias("dp"), F.when(num, N.last_digit(c)).alias("ld"), (num & (v == F.floor(v)) & (N.decimal_places(c) > 0)).alias("whole"), (num & off).alias("off"))
-    agg = df.groupBy(*by).agg(F.count("*").alias("filled"), F.count_if("num").alias("n"), F.count_distinct("dp").alias("distinct_places"), F.max("dp").alias("max_places"), F.count_if(F.col("dp") >= 3).alias("long_decimals"),
-                              F.count_if("whole").alias("whole_as_decimal"), F.count_if(F.col("ld").isin("0", "5")).alias("zero_five"), F.count_if("off").alias("off_grid"))
+    # the places seen, as bits: no second aggregation for a distinct count
+    agg = x.groupBy(*by).agg(F.count("*").alias("filled"), F.count("v").alias("n"), F.coalesce(F.bit_count(F.bit_or(F.expr("shiftleft(1L, least(dp, 62))"))), F.lit(0)).cast("long").alias("distinct_places"), F.max("dp").alias("max_places"), F.count_if(F.col("dp") >= 3).alias("long_decimals"),
+                             F.count_if((v == F.floor(v)) & (F.col("dp") > 0)).alias("whole_as_decimal"), F.count_if(F.col("ld").isin("0", "5")).alias("zero_five"), F.count_if(off).alias("off_grid"))
     return agg.where(F.col("n") >= numeric_share * F.col("filled")).withColumn("flags", flags(
         ("mixed_decimal_precision", F.col("distinct_places") > 2), ("long_decimal", F.col("long_decimals") > 0), ("integer_reported_as_decimal", F.col("whole_as_decimal") > 0),
         ("terminal_0_or_5_enrichment", (F.col("n") >= 20) & (F.col("zero_five") >= 0.45 * F.col("n"))), ("denominator_incompatible", F.col("off_grid") > 0)))
@@ -62,7 +61,16 @@ def exact_repeats(cells: DataFrame, min_places: int = 3, high_places: int = 6) -
 
 
 def inventory(cells: DataFrame, by: list[str]) -> DataFrame:
-    c = F.col("raw")
-    num = N.is_number(c)
-    return cells.groupBy(*by).agg(F.count_if(F.trim(c) != "").alias("nonempty"), F.count_if(num).alias("numeric"), F.count_if(~num & (F.trim(c) != "")).alias("text"), F.coalesce(F.max(F.when(num, N.decimal_places(c))), F.lit(0)).alias("max_places"),
-                                  F.count_if(num & (N.decimal_places(c) >= 3)).alias("places_3"), F.count_if(num & (N.decimal_places(c) >= 8)).alias("places_8"))
+    """Filled, numeric and text cells and decimal places of each group."""
+    c, num = F.col("raw"), F.col("num")
+    x = cells.select(*by, N.is_number(c).alias("num"), F.coalesce(F.trim(c) != "", F.lit(False)).alias("filled"), c.alias("raw")).select(*by, "num", "filled", F.when(num, N.decimal_places(c)).alias("dp"))
+    return x.groupBy(*by).agg(F.count_if("filled").alias("nonempty"), F.count_if("num").alias("numeric"), F.count_if(~num & F.col("filled")).alias("text"), F.coalesce(F.max("dp"), F.lit(0)).alias("max_places"),
+                              F.count_if(F.col("dp") >= 3).alias("places_3"), F.count_if(F.col("dp") >= 8).alias("places_8"))
+
+
+def sheet_inventory(cells: DataFrame) -> DataFrame:
+    """Of each sheet: last row and column, filled, numeric, text and formula cells, decimal places."""
+    by = ["workbook", "sheet"]
+    formulas = F.count_if(F.coalesce(F.col("formula") != "", F.lit(False))) if "formula" in cells.columns else F.lit(0).cast("long")
+    size = cells.groupBy(*by).agg(F.max("row").alias("rows"), F.max("col").alias("cols"), formulas.alias("formula_cells"))
+    return size.join(inventory(cells, by), by)

@@ -46,6 +46,8 @@ def shift(formula: str, rows: int, cols: int) -> str:
 def values(ref: str, cells: dict) -> list[float]:
     ends = [REFERENCE.fullmatch(x) for x in ref.split(":")]
     (r1, r2), (c1, c2) = sorted([int(ends[0][4]), int(ends[-1][4])]), sorted([number(ends[0][2]), number(ends[-1][2])])
+    if (r2 - r1 + 1) * (c2 - c1 + 1) > len(cells):  # a range larger than the sheet: its cells in row-major order
+        return [v for (r, c), v in sorted(cells.items()) if r1 <= r <= r2 and c1 <= c <= c2]
     return [cells[r, c] for r in range(r1, r2 + 1) for c in range(c1, c2 + 1) if (r, c) in cells]
 
 
