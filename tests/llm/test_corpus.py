@@ -207,7 +207,7 @@ def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 8)).round(1)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None), (201, [float("nan")] * 8), (202, [None] * 8)]
-    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, candidate_block=32, query_block=2).collect()
+    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, block=32).collect()
     z = np.floor(256 * x.astype(np.float32).astype(float))
     for q in (0, 50, 100):
         s = z @ z[q]
@@ -215,6 +215,14 @@ def test_topk(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+def test_topk_of_ties_repeats_and_large_numbers(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (50, [1e10, 1e10]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1e10, 1e10]), (4, [1e10 + 1, 1e10]), (5, [1.0, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3, pivots=2).collect())
+    big = 256 * 256 * 10**10
+    assert [r for r in got if r[0] == 50] == [(50, 1, 3, 2**63 - 1), (50, 2, 4, 2**63 - 1), (50, 3, 0, big)]
+    assert sorted(r[1:] for r in got if r[0] == 0) == sorted([(1, 4, big + 65536), (2, 3, big), (3, 50, big), (1, 3, big), (2, 4, big), (3, 50, big)])
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.org/es/1"), (2, "http://x.com/de/4?u=a"), (3, None), (4, "http://casino.net/poker"), (5, "http://spam-farm.net/x"), (6, "http://casinos.net/"), (7, "nothing"), (8, "http://example.org/en/19")]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

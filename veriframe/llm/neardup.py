@@ -201,7 +201,7 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     second = confirm(by_rarest(cut(open_), texts, percent), classes, texts, percent)
     comp = components(first.union(second))
     of = classes.select("digest", "id", "low").join(comp, "id", "left").select("digest", "low", F.coalesce("comp", "id").alias("comp"))
-    heads = of.groupBy("comp").agg(F.min("low").alias("head"))
+    heads = cut(of.groupBy("comp").agg(F.min("low").alias("head")))  # both sides exchanged: a large component can be split
     named = of.join(heads, "comp").select("digest", F.col("head.doc_id").alias("component_id"), F.col("head.mark").alias("chosen_mark"))
     worded = F.col("n_shingles") > 0
     return rows.join(named, "digest", "left").select("doc_id", "mark", "n_shingles", F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "chosen_mark")
