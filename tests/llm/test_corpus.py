@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -263,6 +264,38 @@ def test_licence_notices():
     assert t.best(full)[0] == "MIT" and t.best(full)[2] >= 0.5
 
 
+FULL = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+
+
+def test_full_licence_texts():
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    t = licenses.Templates()
+    texts = {x: (folder / x).read_text(errors="replace") for x in FULL if (folder / x).is_file()}
+    assert {x: t.best(v)[0] for x, v in texts.items()} == {x: FULL[x] for x in texts}
+    assert len(texts) >= 10 and all(t.best(v)[2] >= 0.5 for v in texts.values())
+    assert t.best("A short history of the GNU General Public License. " + "It began with one program and one idea of many people. " * 20)[2] < 0.5
+
+
+def test_inheritance_equals_brute_force(spark):
+    rng = random.Random(6)
+    names = [None, None, None, "MIT", "GPL-3.0"]
+    rows = [(i, "/".join(rng.choices("ab", k=rng.randint(1, 4))) + f"/f{i}", rng.choice(names), rng.choice([0.2, 0.9])) for i in range(300)] + [(999, "f", None, 0.0), (998, "/x/f", "MIT", 1.0), (998, "/x/f", "MIT", 1.0)]
+    files = {}
+    for _, path, name, share in rows:
+        if name and share >= 0.5:
+            files.setdefault(path.rpartition("/")[0] if "/" in path else path, set()).add(name)
+    want = {}
+    for i, path, _, _ in rows:
+        parts = (path.rpartition("/")[0] if "/" in path else path).split("/")
+        above = ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+        want[i] = next((" | ".join(sorted(files[d])) for d in above if d in files), None)
+    found = spark.createDataFrame([(i, p, n, 1.0, s) for i, p, n, s in rows], "doc_id long, path string, license string, cosine double, share double")
+    got = licenses.inherit(found).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["inherits"] for r in got} == want and len(set(want.values())) == 4
+
+
 def test_quality(spark):
     good, bad = " ".join(VOCAB[:60]), "BUY NOW!! ### $$$ " * 20
     docs = spark.createDataFrame([(i, good + str(i) if i % 3 else bad + str(i)) for i in range(200)] + [(500, None), (501, "")], "doc_id long, text string")
