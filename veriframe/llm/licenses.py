@@ -80,8 +80,8 @@ OPENINGS = {
 RESERVED = "proprietary"
 # Words by which a notice of another licence differs from one that it resembles.
 FOREIGN = {"CC-BY-4.0": {"nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives"}, "CC-BY-NC-4.0": {"sa", "sharealike", "nd", "noderivatives"}, "GPL-3.0": {"lesser", "library", "affero"}}
-CUE = re.compile(r"licen[sc]e|copyright|rights reserved|redistribution|permission is|creative commons|spdx|\bgpl\b", re.I)
-HINT = re.compile(r"licen[sc]e|copyright|reserved|redistribution|permission|commons|spdx|\bgpl\b", re.I)  # a word of each cue, which may be wrapped
+CUE = re.compile(r"licen[sc]e|copyright|rights reserved|redistribution|permission is|creative commons|implied warrant|spdx|\bgpl\b", re.I)
+HINT = re.compile(r"licen[sc]e|copyright|reserved|redistribution|permission|commons|warrant|spdx|\bgpl\b", re.I)  # a word of each cue, which may be wrapped
 SPDX = re.compile(r"spdx-licen[sc]e-identifier\s*:\s*(.*)", re.I)
 TAG = re.compile(r"\blicen[sc]e[\"']?\s*[:=]\s*[\"']?([a-z0-9][a-z0-9.+-]*)", re.I)
 ID = re.compile(r"[a-z0-9][a-z0-9.+-]*", re.I)
