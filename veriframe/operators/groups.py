@@ -174,3 +174,23 @@ def tests(df: DataFrame, group: str, value: str, pair: tuple | None = None) -> D
 def sum_ties(ranked: DataFrame) -> float:
     t = F.col("t").cast("double")
     return ranked.select("v", "t").distinct().agg(F.coalesce(F.sum(t * t * t - t), F.lit(0.0))).first()[0]
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Of Student's t, for p over a half; by bisection on the two-sided tail."""
+    low, high = 0.0, 1.0
+    while t_p(high, df) > 2 * (1 - p):
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_p(mid, df) > 2 * (1 - p) else (low, mid)
+    return (low + high) / 2
+
+
+def figure_summary(df: DataFrame, group: str, value: str, order: str, error: str = "sd") -> DataFrame:
+    """Groups by first appearance: place, n, mean, sd, sem, ci95 and the error to plot (sd, sem, ci or none)."""
+    half = F.udf(lambda n: t_quantile(0.975, max(n - 1, 1)), "double", useArrow=True)  # one value a group
+    s = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    s = s.withColumn("sem", F.col("sd") / F.sqrt("n")).withColumn("ci95", F.when(F.col("sem").isNotNull(), half("n") * F.col("sem")))
+    shown = {"sd": F.col("sd"), "sem": F.col("sem"), "ci": F.col("ci95")}.get(error, F.lit(None).cast("double"))
+    return s.withColumns({"place": F.row_number().over(Window.orderBy("first")), "plotted_error": shown}).drop("first")
