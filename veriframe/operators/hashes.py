@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hamming
+from ..plans.lineage import cut
 
 
 def vector_hashes(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -27,6 +28,7 @@ def near_pairs(df: DataFrame, key: str, d_limit: int = 5, a_limit: int = 8) -> D
         width = 64 // bands + (k < 64 % bands)
         cols.append(F.shiftrightunsigned("dhash", at).bitwiseAND(F.lit((1 << width) - 1)).alias(f"b{k}"))
         at += width
+    df = cut(df.select(key, "dhash", "ahash"))  # hashes are made once for both sides
     x = df.select(key, "dhash", "ahash", F.posexplode(F.array(*cols)).alias("band", "part"))
     side = lambda s: x.select("band", "part", F.col(key).alias(s), F.col("dhash").alias("d" + s), F.col("ahash").alias("h" + s))
     d, h = hamming(F.col("da"), F.col("db")), hamming(F.col("ha"), F.col("hb"))
