@@ -79,10 +79,11 @@ def test_encoder_equals_whole_text_encoding():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok, enc = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.Encoder(packing.TOKENIZER, memo=50, word_chars=8)
+    tok, enc = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.Encoder(packing.TOKENIZER, memo=50, piece_chars=8)
     odd = ["", " ", "It's A\u0301 \u0301b e\u0301\n\u0301x", "a<|endoftext|> b <|startoftext|>c", "\u03a3\u03a3 \u0130 \u00a0x\u2003y\x1cz\x85w\x0bq\x0cr", "12 345don't'll", "\u0000a \u0000", "日本 語\t\t!!! ?!", "x" * 3000]
     rng = random.Random(5)
     odd += ["".join(rng.choices("aB1 '\n\u0301\u03a3<|endoftx>é\u200d😀\x1c\u3000", k=200)) for _ in range(300)]
+    odd += ["".join(rng.choices("aBsS'1 \n.-tLlvedÉßÀ²½ªŸ\u00ad×µ", k=200)) for _ in range(300)] + ["".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)])), "Ɓ\u0130 \u0250a"]
     for t in odd:
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
@@ -306,6 +307,72 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def by_hand(spark, docs, bench, keep):
+    """The pipeline's rows before packing, by brute force from its own classifier's decisions: {(doc_id, text)}."""
+    rows = sorted({(d, t) for d, t in docs if keep[d, t]}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    worded = [r for r in rows if (r[1] or "").split()]
+    bare = [(d, t) for d, t in docs if keep[d, t] and not (t or "").split()]
+    parent = list(range(len(worded)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    shingled = [sets(t) for _, t in worded]
+    for j in range(len(worded)):
+        for i in range(j):
+            both = len(shingled[i] & shingled[j])
+            if 100 * both >= 80 * len(shingled[i] | shingled[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    groups = {}
+    for i, (d, t) in enumerate(worded):
+        groups.setdefault(find(i), []).append((d is None, d, hashlib.md5(t.encode()).hexdigest(), t))
+    left = [min(g, key=lambda x: (x[0], x[1] or 0, x[2])) for g in groups.values()]
+    left = [(d, t) for _, d, _, t in left] + bare
+    leaks = {d for d, t in left for it in bench if it and len((t or "").split()) >= 5 and brute_similarity(t.lower(), it.lower()) >= 0.8}
+    return [(d, t) for d, t in left if d not in leaks]
+
+
+def test_pipeline_equals_brute_force(spark, texts, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    good = [(i, t) for i, t in texts.items()] + [(700, texts[2]), (700, texts[6]), (2, texts[2]), (None, texts[7] + " and more"), (None, " ".join(rng.choices(VOCAB, k=50))), (702, "w1 " * 3000)]
+    bad = [(800 + i, "BUY NOW!! ### $$$ " * 20 + str(i)) for i in range(60)]
+    more = [(1000 + i, " ".join(rng.choices(VOCAB, k=60)) + " mail me at a.b@c.org now" * (i % 3 == 0)) for i in range(60)]
+    docs = good + bad + more
+    frame_ = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, "y", 2) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, spans string, stats int, mark string, id int")
+    frame_.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i < 800 or i >= 1000)) for i, _ in bad + more] + [(None, 1), (5, None)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench = [texts[5], None, ""]
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    scores = frame_.select("doc_id", "text", quality.scorer(frame_, labels)("text").alias("s")).collect()
+    keep = {(r["doc_id"], r["text"]): r["s"] >= quality.KEEP for r in scores}
+    assert not any(keep[x] for x in bad) and all(keep[x] for x in more)
+    want = by_hand(spark, docs, bench, keep)
+    frames, now = [], frame_
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == frame_.columns
+        frames.append(now.collect())
+    kept = [(r["doc_id"], r["text"]) for r in frames[2]]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(kept, key=order) == sorted(want, key=order)
+    masked = {r["doc_id"]: r["text"] for r in frames[3]}
+    assert "<EMAIL>" in masked[1000] and "a.b@c" not in masked[1000] and len(frames[3]) == len(want)
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    ids = [packing.Encoder(packing.TOKENIZER).ids(r["text"] or "") + b"\1\0\0\0" for r in frames[3]]
+    assert sorted(got.ids_crc32) == sorted(zlib.crc32(x[k : k + 4 * 4096]) for x in ids for k in range(0, len(x), 4 * 4096))
+    for _, x in got.groupby("sequence_id"):
+        x = x.sort_values("offset")
+        assert x.offset.tolist() == [0, *np.cumsum(x.length)[:-1]] and x.length.sum() <= 4096
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], EMPTY)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for module in (quality, neardup, decontam, pii, packing):
+        assert module.stage(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], EMPTY)
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,56 +30,50 @@ WORD = re.compile(r"[^ \t\r\n]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # How the tokenizer of TOKENIZER splits a word, and letters whose case and composition are the same everywhere.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]*")
+
+
+def plain_split() -> re.Pattern:
+    """SPLIT on lower-case text of PLAIN characters, with their classes spelt out."""
+    kind = lambda k: "".join(chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180)] if unicodedata.category(chr(c))[0] == k)
+    letters, numbers = (re.escape(kind(k)) for k in "LN")
+    return re.compile(SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\t\n\r {letters}{numbers}]").replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, by way of bounded memos of words and of their pieces.
+    """Texts to little-endian 32-bit ids, by way of a bounded memo of pieces.
 
-    The tokenizer never joins text across blank, tab or line ends, so a text's ids are those of its words in order; it
-    lower-cases a word and never joins the pieces that its pattern splits, so a plain word's ids are those of its pieces.
-    Other words, and all of a tokenizer with another pattern, are encoded whole.
+    The tokenizer lower-cases a text, drops blanks and never joins the pieces that its pattern splits, so the ids of a text of
+    plain characters are those of its pieces in order. Other texts, and all where the tokenizer has another pattern, go by
+    words: it never joins text across blank, tab or line ends.
     """
 
-    def __init__(self, tokenizer: str, memo: int = 200_000, part_memo: int = 600_000, word_chars: int = 64):
+    def __init__(self, tokenizer: str, memo: int = 800_000, piece_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.words, self.parts, self.limit, self.part_limit, self.word_chars = Tokenizer.from_file(public_tokenizers.path(tokenizer)), {}, {}, memo, part_memo, word_chars
-        self.split = regex.compile(SPLIT).findall
+        self.tok, self.pieces, self.words, self.limit, self.piece_chars = Tokenizer.from_file(public_tokenizers.path(tokenizer)), {}, {}, memo, piece_chars
+        self.split = plain_split().findall
         told = json.loads(self.tok.to_str())
         norm = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         cuts = [x.get("pattern", {}).get("Regex") for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.splits = norm == ["NFC", "Replace", "Lowercase"] and cuts == [SPLIT, None]
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def fresh(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that the memo lacks."""
-        plain = {w: self.split(w.lower()) for w in new if PLAIN.fullmatch(w) and "<|" not in w} if self.splits else {}
-        whole = [w for w in new if w not in plain]
-        lacking = list({x for ps in plain.values() for x in ps}.difference(self.parts))
-        got = self.parts
-        if len(got) + len(lacking) > self.part_limit:
-            got = {x: got[x] for ps in plain.values() for x in ps if x in got}
-            self.parts = {}
-        got.update(zip(lacking, self.encoded(lacking), strict=True))
-        if len(got) <= self.part_limit:
-            self.parts = got
-        out = {w: b"".join([got[x] for x in ps]) for w, ps in plain.items()}
-        out.update(zip(whole, self.encoded(whole), strict=True))
-        return out
-
     def ids(self, text: str) -> bytes:
-        words, known = WORD.findall(text), self.words
-        new = self.fresh(list(set(words).difference(known)))
-        out = b"".join([new[w] if w in new else known[w] for w in words] if new else map(known.__getitem__, words))
-        if len(known) + len(new) > self.limit:
+        if self.splits and PLAIN.fullmatch(text) and "<|" not in text:
+            return self.joined(self.split(text.lower()), self.pieces, self.limit)
+        return self.joined(WORD.findall(text), self.words, self.limit // 4)
+
+    def joined(self, parts: list[str], known: dict[str, bytes], limit: int) -> bytes:
+        new = list(set(parts).difference(known))
+        if not new:
+            return b"".join(map(known.__getitem__, parts))
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = b"".join([fresh[w] if w in fresh else known[w] for w in parts])
+        if len(known) + len(fresh) > limit:
             known.clear()
-        known.update((w, b) for w, b in new.items() if len(w) <= self.word_chars)
+        known.update((w, b) for w, b in fresh.items() if len(w) <= self.piece_chars)
         return out
 
 
