@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -174,6 +175,31 @@ def test_pii(spark):
     assert "<EMAIL>" in clean[1] and "4111 1111" not in clean[1] and clean[2] is None
 
 
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_by_hand(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_pii_base_equals_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["4111111111111111", "4111 1111-1111 1111", "1.2.3.4", "300.1.2.3.4", "1.2.3.4.5.6.7.8", "+1 (743) 555-3824", "++12 3456789", "a@b.co", "a@b", "x.y@z-.q.r@s.t", "@", ".", "-", " ", "é", "00004.0.0.1", "word", "+", "12", "(", ")", "%"]
+    docs = [(i, "".join(rng.choices(bits, k=rng.randint(1, 25)))) for i in range(600)] + [(600, None), (601, "")]
+    got = {r[0]: r[1] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).select("__id", pii.joined(F.col("base"))).collect()}
+    assert got == {i: base_by_hand(t) for i, t in docs} and sum(map(bool, got.values())) > 300
+
+
 def test_pii_learns_contexts(spark):
     seeds = [(i, f"please dial +1 743 555 {3000 + i}") for i in range(30)]
     docs = spark.createDataFrame([*seeds, (99, "please dial 743 555 9999 now"), (98, "about 743 555 9999 things")], "doc_id long, text string")

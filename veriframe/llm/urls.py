@@ -81,4 +81,18 @@ def judge(pages: DataFrame, soft_limit: int = 2, rules: tuple = RULES, strict: t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    out = judge(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", (F.col("strict_hits") > 0).alias("strict"), "soft_hits")
+
+
+def oracle() -> str:
+    """The query in SQL, from the same rules and terms."""
+    term = lambda t: f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    longest = sorted(RULES, key=lambda r: -len(r[0]))
+    fits = lambda r: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*r.split("/", 1))
+    choose = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[k]}'" for r in longest) + " END"
+    soft = " + ".join(f"CAST({term(t)} AS INTEGER)" for t in SOFT)
+    return f"""WITH a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT page_id, host, path, {choose(0)} AS rule, {choose(1)} AS said, {" OR ".join(map(term, STRICT))} AS strict, CAST({soft} AS INTEGER) AS soft_hits FROM b)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN strict OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict, soft_hits FROM c"""
