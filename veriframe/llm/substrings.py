@@ -176,12 +176,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     info = cut(all_.select("k", "mark", "doc_id", "n_words", "whole").join(firsts, "whole", "left"))
     alone = firsts.select("first.*").join(all_.select("k", "mark", "blocks"), ["k", "mark"]).dropDuplicates(["k", "mark"])
     block = alone.select("k", "mark", F.explode("blocks").alias("block"))
-    often = cut(block.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block"))  # both sides exchanged: hot blocks can be split
-    near = cut(block.join(often, "block").groupBy("k", "mark").agg(F.collect_set("block").alias("repeated")))
-    discard(spark, all_at)
+    often, often_at = store(block.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block"))  # both sides exchanged: hot blocks can be split
+    near, near_at = store(block.join(often, "block").groupBy("k", "mark").agg(F.collect_set("block").alias("repeated")))
+    discard(spark, all_at, often_at)
     release(spark)
     once = docs.groupBy("k", "mark").agg(F.first("text").alias("text"))  # equal rows are one document
     found, found_at = store(anchors(once.join(near, ["k", "mark"]).select("k", "mark", "text", "repeated")))
+    discard(spark, near_at)
     del all_, firsts, alone, block, often, near
     release(spark)
     here = F.struct("k", "mark", "lo")
@@ -193,11 +194,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     several = earliest.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
     single = earliest.join(several, "block", "left_semi").select("block", "e.k", "e.mark", F.col("e.lo").alias("from"), F.posexplode("windows").alias("i", "w"))
     single = single.select("block", "w", "k", "mark", (F.col("from") + F.col("i")).alias("lo"))
-    lowest = cut(single.groupBy("block", "w").agg(F.min(here).alias("e"), F.count("*").alias("c")).where("c > 1").select("block", "w", "e"))
+    lowest, lowest_at = store(single.groupBy("block", "w").agg(F.min(here).alias("e"), F.count("*").alias("c")).where("c > 1").select("block", "w", "e"))
+    release(spark)
     edges = single.join(lowest, ["block", "w"]).where(here > F.col("e")).select("k", "mark", "lo", F.lit(1).alias("n"), "e")
     part = F.struct("lo", "n", F.col("e.k").alias("rk"), F.col("e.mark").alias("rm"), F.col("e.lo").alias("rlo"))
     parts, parts_at = store(whole.union(edges).groupBy("k", "mark").agg(F.collect_list(part).alias("parts")))
-    discard(spark, found_at, earliest_at)
+    discard(spark, found_at, earliest_at, lowest_at)
     del found, earliest, whole, single, lowest, edges, several
     release(spark)
     gone = cut_out(once.join(parts, ["k", "mark"]).select("k", "mark", "text", "parts"))
