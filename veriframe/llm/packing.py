@@ -48,7 +48,7 @@ class Encoder:
     words: it never joins text across blank, tab or line ends.
     """
 
-    def __init__(self, tokenizer: str, memo: int = 800_000, piece_chars: int = 64):
+    def __init__(self, tokenizer: str, memo: int = 500_000, piece_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -71,9 +71,8 @@ class Encoder:
             return b"".join(map(known.__getitem__, parts))
         fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         out = b"".join([fresh[w] if w in fresh else known[w] for w in parts])
-        if len(known) + len(fresh) > limit:
-            known.clear()
-        known.update((w, b) for w, b in fresh.items() if len(w) <= self.piece_chars)
+        if len(known) + len(fresh) <= limit:  # a full memo keeps what came first, the common pieces among it
+            known.update((w, b) for w, b in fresh.items() if len(w) <= self.piece_chars)
         return out
 
 
