@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from veriframe.operators import relations, triples
-from veriframe.plans import catalog
+from veriframe.plans import audit, catalog
 
 BASES = ["A + B", "A - B", "B - A", "A * B", "A / B", "B / A", "A / (A + B)", "B / (A + B)"]
 
@@ -126,3 +126,34 @@ def test_triples_plan(spark):
     """No windows or pairs of windows are sent: earlier plans had dozens of exchanges, which filled disk and the driver."""
     plan = catalog.QUERIES["window_triples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") <= 4 and plan.count("Scan parquet") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("share,band", [(1, 2), (3, 1), (7, 5)])
+def test_triples_in_shares_and_bands(spark, monkeypatch, wanted, share, band):
+    """Blocks longer than a share, and relations across bands, give the same rows, each once."""
+    monkeypatch.setattr(relations, "BAND", band)
+    df = spark.createDataFrame([(s, k, v) for s, blocks in fixture().items() for k, v in blocks.items()], "sheet int, block string, vals array<double>")
+    rows = relations.window_triples(df, "block", ["sheet"], share=share).collect()
+    assert len(rows) == len(wanted) and {tuple(r)[:7]: r["relation"] for r in rows} == {k: v[0] for k, v in wanted.items()}
+    best = relations.maximal_triples(spark.createDataFrame(rows)).collect()
+    inside = lambda x, y: x["length"] < y["length"] and all(0 <= x[c] - y[c] <= y["length"] - x["length"] for c in ("pa", "pb", "pt"))
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["a"], r["b"], r["t"], r["relation"], round(r["constant"], 6)), []).append(r)
+    want = [tuple(r[c] for c in best[0].__fields__) for g in groups.values() for r in g if not any(inside(r, x) for x in g)]
+    assert sorted(map(tuple, best)) == sorted(want)
+    with pytest.raises(ValueError, match="one position"):
+        relations.window_triples(df, "block", ["sheet"], share=0)
+
+
+def test_long_blocks_take_part(spark):
+    """Blocks of more values than AuditConfig.window_values were left out, and their neighbours met instead."""
+    rng, n = random.Random(6), 130
+    cols = [[round(rng.uniform(1, 99), 3) for _ in range(n)] for _ in range(2)]
+    cols.append([round(a + b, 3) for a, b in zip(*cols)])
+    rows = [("w", "s", 1, c + 1, name) for c, name in enumerate(("ctrl", "drug", "both"))] + [("w", "s", r + 2, c + 1, str(v)) for c, vals in enumerate(cols) for r, v in enumerate(vals)]
+    made = audit.screens(spark.createDataFrame(rows, "workbook string, sheet string, row int, col int, raw string"))
+    got = [r for r in made["window_triples"]().collect() if r["length"] == 6]
+    assert {(r["pa"], r["pb"], r["pt"]) for r in got if r["relation"] == "target = A + B"} == {(p, p, p) for p in range(n - 5)}
+    assert {r["relation"] for r in got} == {"target = A + B", "target = B - A"} and len(got) == 3 * (n - 5)
+    assert audit.preflight(spark, audit.AuditConfig(window_values=0)) == ["a share of a block has one position at least"]

@@ -23,7 +23,7 @@ class AuditConfig:
     high_places: int = 6
     shortest_sequence: int = 3
     window_lengths: tuple[int, int] = (3, 6)
-    window_values: int = 80
+    window_values: int = 80  # longer blocks are dealt in shares of so many positions; none is left out
     relative: float = 1e-6
     matrix_share: float = 0.8
     matrix_cells: int = 12
@@ -37,6 +37,8 @@ def preflight(spark: SparkSession, config: AuditConfig) -> list[str]:
         out.append(f"the cluster runs Spark {spark.version}, the client {pyspark.__version__}")
     if not 2 < config.window_lengths[0] <= config.window_lengths[1]:
         out.append("windows have three values at least")
+    if config.window_values < 1:
+        out.append("a share of a block has one position at least")
     return out
 
 
@@ -49,7 +51,7 @@ def screens(cells: DataFrame, config: AuditConfig = AuditConfig()) -> dict[str,
         if not blocks:
             b = layout.group_blocks(cells)
             name = F.concat_ws("!", "workbook", "sheet", "panel", "row", F.lpad("group_start", 5, "0"))
-            blocks.append(cut(b.where(~layout.L.is_axis(F.col("group")) & (F.size("vals") <= config.window_values)).select(*sheet, "panel", "row", "group", "context", "vals", name.alias("block"))))
+            blocks.append(cut(b.where(~layout.L.is_axis(F.col("group"))).select(*sheet, "panel", "row", "group", "context", "vals", name.alias("block"))))
         return blocks[0]
 
     place = [*sheet, "panel", "row"]
@@ -64,7 +66,7 @@ def screens(cells: DataFrame, config: AuditConfig = AuditConfig()) -> dict[str,
         "shared_runs": lambda: sequences.shared_runs(block(), "block", config.shortest_sequence),
         "scaled_vectors": lambda: sequences.scaled_vectors(block(), "block", place, config.relative),
         "window_relations": lambda: relations.maximal_windows(sequences.window_relations(block(), "block", place, *[config.window_lengths[0]], longest=config.window_lengths[1], rel=config.relative)),
-        "window_triples": lambda: relations.maximal_triples(relations.window_triples(block(), "block", place, *config.window_lengths, rel=config.relative)),
+        "window_triples": lambda: relations.maximal_triples(relations.window_triples(block(), "block", place, *config.window_lengths, rel=config.relative, share=config.window_values)),
         "matrix_overlap": lambda: layout.summary_mismatches(layout.matrix_overlap(cells, config.matrix_share, config.matrix_cells), cells),
     } | ({"formula_recheck": lambda: formulas.recheck(cells)} if "formula" in cells.columns else {})
 
